@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import ship
+from . import quality_rules as rules
 from .common import table
 from .grace_dedup import exact_dedup
+from .packing import pack
 
 
 def op10_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,22 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {"op10_grace_dedup": op10_grace_dedup}
 
-ORACLE = {"op10_grace_dedup": OP10_SQL}
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(ship(spark), sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents")).drop("text")
+
+
+QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_grace_dedup": op10_grace_dedup,
+}
+
+ORACLE = {
+    "op9_quality_rules": rules.ORACLE,
+    "op10_grace_dedup": OP10_SQL,
+}
