@@ -12,6 +12,9 @@ a null doc_id stays null.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +24,9 @@ SYMBOLS = r"[#*$%&|<>]"
 MARKS = r"[#*$%&|<>!?]"
 SEPARATORS = r"[|>»·•]"
 #: Fixed phrases, lower case.
-BOILERPLATE = r"(?i)licensed under|all rights reserved|copyright|terms of (use|service)|privacy policy|cookie|click here|subscribe|sign up|log ?in |lorem ipsum|enable javascript|skip to (main )?content|powered by"
+BOILERPLATE = ("licensed under", "all rights reserved", "copyright", "terms of use", "terms of service", "privacy policy", "cookie", "click here", "subscribe", "sign up", "log in", "login", "lorem ipsum", "enable javascript", "skip to content", "skip to main content", "powered by")
+#: A line longer than this is prose that may mention them.
+NOTICE_CHARS = 300
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
@@ -51,7 +56,9 @@ def line_fails(line: Column) -> Column:
     marks, separators = _hits(line, MARKS), _hits(line, SEPARATORS)
     punctuation = (marks >= MIN_MARKS) & (marks * 100 > words * MARK_PERCENT)
     navigation = (separators >= MIN_SEPARATORS) & (words <= (separators + 1) * ENTRY_WORDS)
-    return punctuation | navigation | line.rlike(BOILERPLATE)
+    # one array element, so that the line is lower-cased once and not once a phrase
+    boilerplate = F.exists(F.array(F.lower(line)), lambda low: reduce(operator.or_, [low.contains(p) for p in BOILERPLATE]))
+    return punctuation | navigation | ((F.length(line) <= NOTICE_CHARS) & boilerplate)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -100,7 +107,7 @@ lw AS (SELECT r, line, len(list_filter(string_split_regex(line, '{SPACE}+'), lam
               len(regexp_extract_all(line, '{MARKS}')) AS marks, len(regexp_extract_all(line, '{SEPARATORS}')) AS seps,
               length(regexp_replace(line, '{SPACE}', '', 'g')) AS chars FROM l),
 lf AS (SELECT *, (marks >= {MIN_MARKS} AND marks * 100 > n * {MARK_PERCENT}) OR (seps >= {MIN_SEPARATORS} AND n <= (seps + 1) * {ENTRY_WORDS})
-              OR regexp_matches(line, '{BOILERPLATE}') AS fails FROM lw WHERE n > 0),
+              OR (length(line) <= {NOTICE_CHARS} AND ({' OR '.join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)})) AS fails FROM lw WHERE n > 0),
 lines AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (fails) AS n_failed_lines,
                  coalesce(sum(chars) FILTER (fails), 0)::BIGINT AS lost_chars FROM lf GROUP BY r),
 a AS (SELECT r, list_filter(string_split_regex(text, '{SPACE}+'), lambda x: x <> '') AS w FROM d),
