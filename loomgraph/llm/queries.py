@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import ship
 from . import quality_rules as rules
 from .common import table
 from .grace_dedup import exact_dedup
+from .line_dedup import line_dedup
+from .minmax import near_dedup
 from .packing import pack
 
 
@@ -29,12 +32,24 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(ship(spark), sf_dir, "documents"))
 
 
+def op5_winnow_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_lines, n_removed, text_sha256 of what is left."""
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(ship(spark), sf_dir, "documents"), width=4, percent=80)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("text")
 
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_winnow_line_dedup": op5_winnow_line_dedup,
+    "op8_minmax_near_dedup": op8_minmax_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_grace_dedup": op10_grace_dedup,
 }
