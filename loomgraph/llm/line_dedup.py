@@ -2,8 +2,9 @@
 
 Lines with a word are hashed and numbered. A gram is the fewest lines from a position on that hold MIN_WORDS words;
 its hash is that of its lines' hashes, so a single long line is a gram too. Of WINDOW consecutive grams' hashes the
-smallest (the first, if equal) is a fingerprint, and so is every gram of one line: two passages with MIN_WORDS words
-in whole lines and WINDOW - 1 lines more, or with one line of MIN_WORDS words, always share one. Fingerprints join
+smallest (the first, if equal) is a fingerprint, and so is every gram of one line. With a WINDOW of 2, two equal
+passages of 2 * MIN_WORDS words in whole lines always share one: if the first line is no gram alone, the next gram lies
+in the passage too. Runs below MIN_WORDS never match. Fingerprints join
 the first position that has them; each match gives a diagonal between two documents, along which equal lines are
 matched both ways; a run of such lines of MIN_WORDS words or more is removed where it comes later. "Later" goes by
 (doc_id, line). Every line that goes has an earlier equal one that stays: that is where the first of the chain is.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, pick, small_side, written
 
-MIN_WORDS = 40
+MIN_WORDS = 25
 WINDOW = 2
 
 

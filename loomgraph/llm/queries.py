@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from . import quality_rules as rules
-from .common import table
+from . import toxicity
+from .common import remainder, table
 from .grace_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .minmax import near_dedup
@@ -28,6 +29,16 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def _scored(scored: DataFrame, fold: int, held: int, at: float) -> DataFrame:
+    return scored.select("doc_id", (remainder(F.col("doc_id"), fold) == held).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+
+
+def op1_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold=5, held=0)
+    return _scored(toxicity.score(docs, model), 5, 0, 0.5)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(ship(spark), sf_dir, "documents"))
 
@@ -47,6 +58,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_zstd_toxicity": op1_zstd_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_winnow_line_dedup": op5_winnow_line_dedup,
     "op8_minmax_near_dedup": op8_minmax_near_dedup,
