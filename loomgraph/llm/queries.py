@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from . import langid, quality_cnn
 from . import quality_rules as rules
 from . import toxicity
 from .common import remainder, table
@@ -43,12 +44,24 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(ship(spark), sf_dir, "documents"))
 
 
+def op3_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    out = langid.predict(docs, langid.fit(docs, fold=4, held=2))
+    return out.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_winnow_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, text_sha256 of what is left."""
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op7_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    model = quality_cnn.fit(docs, table(spark, sf_dir, "labels"), fold=4, held=2)
+    return _scored(quality_cnn.score(docs, model), 4, 2, 0.7)
+
+
 def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(ship(spark), sf_dir, "documents"), width=4, percent=80)
 
@@ -60,7 +73,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_zstd_toxicity": op1_zstd_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_byte_cnn_langid": op3_byte_cnn_langid,
     "op5_winnow_line_dedup": op5_winnow_line_dedup,
+    "op7_byte_cnn_quality": op7_byte_cnn_quality,
     "op8_minmax_near_dedup": op8_minmax_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_grace_dedup": op10_grace_dedup,
