@@ -11,8 +11,10 @@ from . import quality_rules as rules
 from . import toxicity
 from .common import remainder, table
 from .grace_dedup import exact_dedup
+from .lattice_lm import lattice_lm
 from .line_dedup import line_dedup
 from .minmax import near_dedup
+from .mixing import mix
 from .packing import pack
 
 
@@ -50,12 +52,21 @@ def op3_byte_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm(table(ship(spark), sf_dir, "documents"), fold=10, held=0)
+
+
 def op5_winnow_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, text_sha256 of what is left."""
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document and epoch that the mixture takes: doc_id, source, n_tokens, epoch, block, turn. The flattest mixture that takes no source more than twice, every one whole once."""
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), max_repeats=2.0).drop("text")
+
+
 def op7_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents")
     model = quality_cnn.fit(docs, table(spark, sf_dir, "labels"), fold=4, held=2)
@@ -74,7 +85,9 @@ QUERIES = {
     "op1_zstd_toxicity": op1_zstd_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_byte_cnn_langid": op3_byte_cnn_langid,
+    "op4_lattice_lm": op4_lattice_lm,
     "op5_winnow_line_dedup": op5_winnow_line_dedup,
+    "op6_temperature_mixing": op6_temperature_mixing,
     "op7_byte_cnn_quality": op7_byte_cnn_quality,
     "op8_minmax_near_dedup": op8_minmax_near_dedup,
     "op9_quality_rules": op9_quality_rules,
