@@ -1,13 +1,16 @@
-"""Putting the package on the executors."""
+"""Putting the package on the executors, and tables into the folder that they share."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +27,20 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, p.relative_to(top.parent).as_posix())
         sc.addPyFile(name)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset (local runs)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, found, True)
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage is cut, and a lost executor costs nothing."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
