@@ -6,11 +6,11 @@ in two documents with a probability of their Jaccard similarity. The entries are
 two maxima. Documents that agree in a band are candidates, and a link counts only after the full sets are compared.
 
 Skew: documents with the same set are one class from the start (a partial aggregation), so copies never meet in
-pairs. In a bucket of near copies each round compares the members with one hub only (linear in the bucket); the
-confirmed links are closed to components, and the next round goes on with the members that are still apart from
-another hub, until the rounds are spent; then the pairs of classes that are still apart and share a bucket are
-compared one by one, as they are at once in a bucket of up to SMALL_BUCKET members. So no link between different
-components is lost to a cap, and pairs already known to be connected are never listed.
+pairs. A bucket of up to SMALL_BUCKET members lists its pairs. In a larger one each of HUB_ROUNDS rounds compares the
+members with one hub only (linear in the bucket), and the confirmed links are closed to components. What is then in
+a large bucket but not in its main component is compared with that component's documents and with the bucket's other
+strangers, in blocks of CELL by CELL documents that emit one link a document and component, not pairs. So no link
+between components is lost to a cap, pairs known to be connected are never listed, and no task gets a whole group.
 
 Defined results: no words (null, empty or blank text): an empty set, linked with nothing; fewer words than a
 shingle: the whole sequence as one shingle; repeated rows of a doc_id are one node; a null doc_id has a null
@@ -29,10 +29,14 @@ from .components import components
 
 PERMUTATIONS = 64
 BANDS = 32
-#: Rounds with one hub a bucket before the pairs that are left are listed.
-HUB_ROUNDS = 8
+#: Rounds with one hub a bucket before what is left apart is compared in blocks.
+HUB_ROUNDS = 2
 #: A bucket of so many members lists its pairs.
 SMALL_BUCKET = 16
+#: Documents on either side of a block of comparisons, about.
+CELL = 1000
+#: Entries of the sketch that spares most comparisons of full sets there.
+SKETCH = 512
 
 _U = np.uint64
 _SPACES = np.zeros(256, bool)
@@ -130,18 +134,80 @@ def _sign(width: int, permutations: int, bands: int):
 
 
 def _gather(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets = shingle_sets(part.column(1).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([sketch(x) for x in sets], pa.binary())], schema=schema)
 
     return run
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """SKETCH min-max entries of one byte each, by other permutations than the bands'."""
+    if not len(hashes):
+        return bytes(SKETCH)
+    low = high = None
+    for at in range(0, len(hashes), 4096):
+        values = hashes[at : at + 4096, None] * _MULTIPLY[-SKETCH // 2 :] + _ADD[-SKETCH // 2 :]
+        x, y = values.min(0), values.max(0)
+        low, high = (x, y) if low is None else (np.minimum(low, x), np.maximum(high, y))
+    return (mix64(np.concatenate([low, high])) >> _U(56)).astype(np.uint8).tobytes()
+
+
+def _compare(percent: int):
+    """Links between the documents of two cells that are in different components: one for each document on the right and component on the left. The sketches leave out pairs that are surely below; the others' full sets are compared."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    # five standard deviations below
+    j = percent / 100
+    surely = j - 5 * (max(j * (1 - j), 0.01) / SKETCH) ** 0.5
+
+    def columns(t: pa.Table):
+        sets = [np.frombuffer(v, _U) for v in t.column("shingles").to_pylist()]
+        return t.column("doc").to_numpy(), t.column("root").to_numpy(), sets, np.array([len(x) for x in sets]), np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            ids, roots, sets, sizes, marks = columns(left)
+            for i, root, own, n, mark in zip(*columns(right), strict=True):
+                fits = (roots != root) & (np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * percent)
+                some = np.flatnonzero(fits)
+                if not len(some):
+                    continue
+                same = ((marks[some] == mark).mean(1) - 1 / 256) * 256 / 255
+                done = set()
+                for k in some[same >= surely][np.argsort(-same[same >= surely], kind="stable")]:
+                    if roots[k] in done:
+                        continue
+                    both = len(np.intersect1d(own, sets[k], assume_unique=True))
+                    if both * 100 >= percent * (n + sizes[k] - both):
+                        done.add(roots[k])
+                        a.append(min(i, ids[k]))
+                        b.append(max(i, ids[k]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    return run
+
+
+def across(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int, cell: int) -> DataFrame:
+    """Links between left(grp, doc, root) and right(grp, doc, root) of the same group, compared in blocks of about `cell` by `cell` documents: each row goes to as many blocks as the other side has cells."""
+    many = lambda df, name: df.groupBy("grp").agg(F.ceil(F.count("*") / cell).cast("int").alias(name))
+    cells = written(many(left, "ln").join(many(right, "rn"), "grp"), "cells")
+
+    def dealt(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        df = df.join(small_side(cells), "grp").withColumn(own, F.pmod(F.xxhash64("doc"), F.col(own_n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
+        return df.select("grp", "lc", "rc", "doc", "root").join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+
+    # new names on one side, as both may come from one table
+    first = dealt(left, "lc", "ln", "rc", "rn").toDF("doc", "g1", "l1", "r1", "root", "shingles", "sketch")
+    second = dealt(right, "rc", "rn", "lc", "ln").toDF("doc", "g2", "l2", "r2", "root", "shingles", "sketch")
+    return written(first.groupBy("g1", "l1", "r1").cogroup(second.groupBy("g2", "l2", "r2")).applyInArrow(_compare(percent), "a long, b long").distinct(), "links")
+
+
 def _confirm(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -159,7 +225,7 @@ def _confirm(percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, bands: int = BANDS, hub_rounds: int = HUB_ROUNDS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, bands: int = BANDS, hub_rounds: int = HUB_ROUNDS, small_bucket: int = SMALL_BUCKET, cell: int = CELL) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
     spread = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = written(spread.mapInArrow(_sign(width, permutations, bands), "doc_id long, n long, s1 long, s2 long, keys array<long>"), "signed")
@@ -174,13 +240,13 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, permutations:
 
     members = written(buckets.select(F.col("rep").alias("doc_id")).distinct(), "members")
     texts = spread.join(small_side(members), "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(_gather(width), "doc_id long, shingles binary").join(small_side(members), "doc_id").dropDuplicates(["doc_id"]), "sets")
+    sets = written(texts.mapInArrow(_gather(width), "doc_id long, shingles binary, sketch binary").join(small_side(members), "doc_id").dropDuplicates(["doc_id"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs(a, b) whose full sets are similar enough."""
-        first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-        second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-        return written(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "links")
+        one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+        two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+        return written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
     fits = (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent) & (F.col("root") != F.col("hub_root"))
     ordered = (F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
@@ -190,27 +256,34 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, permutations:
         other = these.select("key", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
         return these.select("key", "rep", "n", "root").join(other, "key").where(fits & (F.col("rep") < F.col("hub"))).select(*ordered)
 
-    links = tested = None
-    root = buckets.select("key", "rep", "n", F.col("rep").alias("root"))
-    for turn in range(hub_rounds + 1):
+    links, root, first = None, buckets.select("key", "rep", "n", F.col("rep").alias("root")), True
+    for turn in range(hub_rounds):
         # a bucket of one component is done with; the others' hub is another one each time
         by = F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")
         hubs = root.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.struct(by.alias("by"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))).alias("h"))
         apart = written(root.join(hubs.where("r1 <> r2").select("key", "m", "h.hub", "h.hub_n", "h.hub_root"), "key"), "apart")
         large = apart.where(F.col("m") > small_bucket)
-        pairs = listed(apart if turn == hub_rounds else apart.where(F.col("m") <= small_bucket))
-        if turn < hub_rounds:
-            pairs = pairs.unionByName(large.where(fits).select(*ordered))
-        pairs = pairs.distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = confirmed(pairs)
+        pairs = large.where(fits).select(*ordered)
+        if first:
+            pairs = pairs.unionByName(listed(apart.where(F.col("m") <= small_bucket)))
+        found = confirmed(written(pairs.distinct(), "pairs"))
         links = found if links is None else links.unionByName(found)
-        if turn == 0 or found.limit(1).count():
+        if first or found.limit(1).count():
             state = components(links)
+        first = False
         root = large.select("key", "rep", "n").join(state.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-        if turn == hub_rounds or large.limit(1).count() == 0:
-            break
+    # large buckets in which components are still apart: strangers to the bucket's main component
+    spread_of = root.groupBy("key", "root").count()
+    main = spread_of.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("k")).where("k > 1").select("key", F.col("top.root").alias("main"))
+    apart = written(root.select("key", F.col("rep").alias("doc"), "root").join(main, "key"), "apart")
+    if apart.limit(1).count():
+        strangers = apart.where("root <> main")
+        # meet all of that component's documents in such buckets, and each other within the bucket
+        of_main = apart.where("root = main").select(F.col("main").alias("grp"), "doc", "root").distinct()
+        of_key = strangers.select(F.col("key").alias("grp"), "doc", "root")
+        met = across(of_main, strangers.select(F.col("main").alias("grp"), "doc", "root").distinct(), sets, percent, cell)
+        links = links.unionByName(met).unionByName(across(of_key, of_key, sets, percent, cell))
+        state = components(links)
 
     labelled = classes.join(state.select(F.col("node").alias("rep"), "root"), "rep", "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("component_id"))
     out = signed.join(labelled, ["n", "s1", "s2"], "left")
