@@ -77,10 +77,10 @@ def resolve_imports(imp: DataFrame, files: DataFrame) -> DataFrame:
     full = full.withColumn("rank", F.when(F.col("suffix") == F.col("file"), 0).otherwise(1))
     bare = full.withColumn("suffix", F.regexp_replace("suffix", r"\.[^./]+$", ""))
     folder = full.where(basename(F.col("file")).rlike(r"^(?:__init__\.py|mod\.rs|index\.[jt]sx?)$") | (F.col("lang") == "go")).withColumn("suffix", F.regexp_replace("suffix", r"/?[^/]+$", "")).where("suffix <> ''")
-    offers = full.unionByName(bare).unionByName(folder).distinct()
-    same = (offers["lang"] == imp["lang"]) | (offers["lang"].isin("javascript", "typescript") & imp["lang"].isin("javascript", "typescript"))
-    hit = imp.join(offers, (imp["target"] == offers["suffix"]) & same).select(imp["path"], "target", "file", "rank", "file_ord")
-    best = hit.where("file <> path").groupBy("path", "target").agg(F.min(F.struct("rank", "file_ord", "file")).alias("b"))
+    offers = full.unionByName(bare).unionByName(folder).distinct().select("file", "file_ord", F.col("lang").alias("of_lang"), F.col("suffix").alias("target"), "rank")
+    kin = lambda c: F.when(F.col(c) == "typescript", "javascript").otherwise(F.col(c))
+    hit = imp.select("path", "lang", "target").join(offers, "target").where((kin("lang") == kin("of_lang")) & (F.col("file") != F.col("path")))
+    best = hit.groupBy("path", "target").agg(F.min(F.struct("rank", "file_ord", "file")).alias("b"))
     return best.select("path", "target", "b.file")
 
 
@@ -89,6 +89,13 @@ def coverage_status(changed: DataFrame, covered: DataFrame) -> DataFrame:
     return changed.join(covered.select("path", "line_no").distinct().withColumn("hit", F.lit(True)), ["path", "line_no"], "left").withColumn("status", F.when(F.col("hit"), "Covered").otherwise("Unknown")).drop("hit")
 
 
+def test_stems(word: Column) -> Column:
+    """The names that a test's name may be about: itself, and what is left without test_, up to any underscore."""
+    parts = F.split(F.regexp_replace(word, "^test_", ""), "_")
+    cuts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "_"))
+    return F.array_distinct(F.concat(cuts, F.array(word)))
+
+
 def find_tests(funcs: DataFrame, lines: DataFrame, shape: DataFrame) -> DataFrame:
     """(func, path, line_no, code) of tests of funcs(path, func): lines of test files that name func, perhaps as test_func or func_suffix, and speak of a test. Of equal bodies one function's search keeps the first."""
     names = funcs.select("func", F.col("path").alias("own")).where(F.length("func") >= MIN_NAME).distinct()
@@ -96,9 +103,7 @@ def find_tests(funcs: DataFrame, lines: DataFrame, shape: DataFrame) -> DataFram
     said = F.col("clean").contains("test") | F.col("clean").contains("it(") | F.col("clean").contains("describe") | F.col("raw").contains("test")
     words = lines.where(said).select("path", "file_ord", "lang", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("raw", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("word"))
     # test_<func>, <func> and <func>_<suffix> are all found by equality on what the word may stand for
-    stem = F.regexp_replace("word", "^test_", "")
-    cuts = F.transform(F.filter(F.sequence(F.lit(1), F.length(stem)), lambda i: (F.substring(stem, i + 1, 1) == "_") | (i == F.length(stem))), lambda i: F.substring(stem, F.lit(1), i))
-    stems = words.withColumn("func", F.explode(F.array_distinct(F.concat(cuts, F.array("word")))))
+    stems = words.withColumn("func", F.explode(test_stems(F.col("word"))))
     testish = F.lower("path").rlike("test|spec") | (F.col("lang").isin(*own_ok) & (F.col("path") == F.col("own")))
     hits = stems.join(names, "func").where(testish).select("func", "path", "file_ord", "line_no").distinct()
     spans = bounds(hits, shape)

@@ -1,8 +1,415 @@
-"""Contract queries over the driver tables."""
+"""Contract queries: the engine's operators over the driver tables, each with SQL that DuckDB runs on the same tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.languages import CALLEE_IGNORED, IGNORED_DIRECTORIES, extension, fence_of, language_of
+from ..operators import graph, index, linkage, rank, resolve
+from ..runtime import ship
+from ..sources import artifacts, diff, files
+from .engine import compare
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
+WORD = r"[A-Za-z_][A-Za-z0-9_]*"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _list(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+# A code corpus made of the tables: ten orders a file, each a function that calls the parts of its items.
+CORPUS = """corpus AS (
+  SELECT k // 10 AS f, concat('src/m', (k // 10) % 40, '/f', k // 10, '.py') AS path, line_no, text FROM (
+    SELECT k, row_number() OVER (PARTITION BY k // 10 ORDER BY k, n, text) AS line_no, text FROM (
+      SELECT o_orderkey AS k, 0 AS n, concat('def order_', o_orderkey, '():') AS text FROM orders
+      UNION ALL SELECT l_orderkey, l_linenumber, concat('    part_', l_partkey, '()') FROM lineitem)))"""
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lines(path, file_ord, lang, line_no, raw, stripped, clean) of the corpus."""
+    heads = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.lit(0).alias("n"), F.concat(F.lit("def order_"), "o_orderkey", F.lit("():")).alias("text"))
+    calls = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.concat(F.lit("    part_"), "l_partkey", F.lit("()")).alias("text"))
+    rows = heads.unionByName(calls).withColumn("f", F.expr("k div 10"))
+    rows = rows.withColumn("line_no", F.row_number().over(Window.partitionBy("f").orderBy("k", "n", "text")).cast("long"))
+    path = F.concat(F.lit("src/m"), (F.col("f") % 40).cast("string"), F.lit("/f"), F.col("f").cast("string"), F.lit(".py"))
+    return rows.select(path.alias("path"), F.col("f").alias("file_ord"), F.lit("python").alias("lang"), "line_no", F.col("text").alias("raw"), F.col("text").alias("stripped"), F.col("text").alias("clean"))
+
+
+SPANS = f"""{CORPUS}, decl AS (SELECT path, line_no, regexp_extract(text, 'def ([a-z_0-9]+)', 1) AS func FROM corpus WHERE text LIKE 'def %'),
+sizes AS (SELECT path, max(line_no) AS n FROM corpus GROUP BY path),
+spans AS (SELECT path, line_no - 1 AS start0, coalesce(lead(line_no) OVER (PARTITION BY path ORDER BY line_no) - 1, n) AS end0, func FROM decl JOIN sizes USING (path))"""
+
+
+@query("SELECT doc_id, i AS line_no, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
+def line_scan(spark, sf_dir):
+    return index.split_lines(t(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("""SELECT doc_id, count(*) AS n_lines, count(*) FILTER (trim(line) = '') AS n_blank, max(length(line) - length(ltrim(line))) AS max_indent, sum(length(line))::BIGINT AS n_chars
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""")
+def line_stats(spark, sf_dir):
+    lines = index.split_lines(t(spark, sf_dir, "documents"), "doc_id", "text")
+    blank = F.sum((index.strip(F.col("line")) == "").cast("long"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), blank.alias("n_blank"), F.max(index.indent(F.col("line"))).cast("long").alias("max_indent"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query(f"""SELECT page_id, name, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(s, '([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1)) AS name
+FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS s FROM pages)) WHERE name NOT IN ({_list(CALLEE_IGNORED)}) GROUP BY page_id, name""")
+def call_extraction(spark, sf_dir):
+    scripts = t(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("line_no", "clean"))
+    calls = scripts.select("page_id", F.explode(F.regexp_extract_all("clean", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))).alias("name"))
+    return calls.where(~F.col("name").isin(*CALLEE_IGNORED)).groupBy("page_id", "name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, length(html) - length(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) AS removed, len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS n_comments FROM pages")
+def comment_strip(spark, sf_dir):
+    pattern = r"(?s)<!--.*?-->"
+    return t(spark, sf_dir, "pages").select("page_id", (F.length("html") - F.length(F.regexp_replace("html", pattern, ""))).cast("long").alias("removed"), F.size(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).cast("long").alias("n_comments"))
+
+
+@query("""SELECT page_id, href, regexp_extract(href, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(href, '^(?:[a-z]+://[^/]+)?([^?#]*)', 1) AS path
+FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)""")
+def link_extraction(spark, sf_dir):
+    href = t(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    return href.select("page_id", "href", F.regexp_extract("href", "^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_extract("href", "^(?:[a-z]+://[^/]+)?([^?#]*)", 1).alias("path"))
+
+
+def _words(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z]+"), F.lit(0))).alias("token"))
+
+
+@query("""WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM benchmark),
+w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM documents)
+SELECT doc_id, count(*) AS n FROM w SEMI JOIN b USING (token) WHERE length(token) >= 3 GROUP BY doc_id""")
+def token_prefilter(spark, sf_dir):
+    asked = _words(t(spark, sf_dir, "benchmark"), "item_id", "text").select("token").distinct()
+    return _words(t(spark, sf_dir, "documents"), "doc_id", "text").distinct().join(asked, "token", "left_semi").where(F.length("token") >= index.MIN_NAME).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM documents) WHERE token NOT IN ({_list((*CALLEE_IGNORED, 'the', 'that', 'and'))}) GROUP BY token")
+def token_ignore(spark, sf_dir):
+    return _words(t(spark, sf_dir, "documents"), "doc_id", "text").where(~F.col("token").isin(*CALLEE_IGNORED, "the", "that", "and")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(d.doc_id AS VARCHAR) AS path, d.n_chars AS line_no, CASE WHEN l.doc_id IS NULL THEN 'Unknown' ELSE 'Covered' END AS status FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+def coverage_left(spark, sf_dir):
+    changed = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("line_no"))
+    covered = t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("path")).distinct().join(changed, "path")
+    return linkage.coverage_status(changed, covered)
+
+
+@query("SELECT event_id, coalesce(max(CASE WHEN value < 10 THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id), -1) AS decl_id FROM events")
+def nearest_declaration(spark, sf_dir):
+    above = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return t(spark, sf_dir, "events").select("event_id", F.coalesce(F.max(F.when(F.col("value") < 10, F.col("event_id"))).over(above), F.lit(-1).cast("long")).alias("decl_id"))
+
+
+@query(f"WITH {SPANS} SELECT path, start0, end0, func FROM spans")
+def indentation_bounds(spark, sf_dir):
+    lines = corpus(spark, sf_dir)
+    heads = lines.where(F.col("clean").startswith("def ")).select("path", "line_no", F.regexp_extract("clean", r"\bdef\s+(\w+)", 1).alias("func"))
+    return index.bounds(heads, index.shapes(lines)).select("path", F.col("start0").cast("long").alias("start0"), F.col("end0").cast("long").alias("end0"), "func")
+
+
+BRACES = """braces AS (SELECT path, line_no, text FROM (
+  SELECT concat('src/f', k // 10, '.c') AS path, row_number() OVER (PARTITION BY k // 10 ORDER BY k, n, text) AS line_no, text FROM (
+    SELECT o_orderkey AS k, 0 AS n, concat('void order_', o_orderkey, '() {') AS text FROM orders
+    UNION ALL SELECT l_orderkey, l_linenumber, concat('  if (x) { part_', l_partkey, '(); }') FROM lineitem
+    UNION ALL SELECT o_orderkey, 99, '}' FROM orders)))"""
+
+
+@query(f"""WITH {BRACES}, h AS (SELECT path, line_no, regexp_extract(text, 'void ([a-z_0-9]+)', 1) AS func FROM braces WHERE text LIKE 'void%'),
+e AS (SELECT path, line_no FROM braces WHERE text = '}}') SELECT h.path, h.line_no - 1 AS start0, min(e.line_no) AS end0, func FROM h JOIN e ON h.path = e.path AND e.line_no > h.line_no GROUP BY ALL""")
+def brace_bounds(spark, sf_dir):
+    heads = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.lit(0).alias("n"), F.concat(F.lit("void order_"), "o_orderkey", F.lit("() {")).alias("text"))
+    ends = heads.select("k", F.lit(99).alias("n"), F.lit("}").alias("text"))
+    body = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.concat(F.lit("  if (x) { part_"), "l_partkey", F.lit("(); }")).alias("text"))
+    rows = heads.unionByName(ends).unionByName(body).withColumn("f", F.expr("k div 10"))
+    rows = rows.withColumn("line_no", F.row_number().over(Window.partitionBy("f").orderBy("k", "n", "text")).cast("long"))
+    lines = rows.select(F.concat(F.lit("src/f"), F.col("f").cast("string"), F.lit(".c")).alias("path"), F.lit("c-family").alias("lang"), "line_no", F.col("text").alias("stripped"), F.col("text").alias("clean"))
+    found = index.bounds(lines.where(F.col("clean").startswith("void")).select("path", "line_no", F.regexp_extract("clean", r"void (\w+)", 1).alias("func")), index.shapes(lines))
+    return found.select("path", F.col("start0").cast("long").alias("start0"), F.col("end0").cast("long").alias("end0"), "func")
+
+
+@query(f"WITH {SPANS} SELECT c.path, c.line_no, s.func FROM corpus c JOIN spans s ON c.path = s.path AND c.line_no > s.start0 AND c.line_no <= s.end0")
+def line_to_span(spark, sf_dir):
+    lines = corpus(spark, sf_dir)
+    spans = indentation_bounds(spark, sf_dir)
+    inside = spans.withColumn("line_no", F.explode(F.sequence(F.col("start0") + 1, "end0")))
+    return lines.select("path", "line_no").join(inside.select("path", "line_no", "func"), ["path", "line_no"])
+
+
+@query("""SELECT doc_id, coalesce(nullif(regexp_extract(text, '\\b(?:fn|def|function|sub|func|class|macro)\\s+([A-Za-z0-9_]+)', 1), ''),
+  nullif(regexp_extract(text, '\\b([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1), ''), concat('block_lines_0_', len(string_split(text, chr(10))))) AS func FROM documents""")
+def function_names(spark, sf_dir):
+    end = F.size(F.split("text", "\n", -1))
+    return t(spark, sf_dir, "documents").select("doc_id", index.function_name(F.col("text"), F.lit(0), end).alias("func"))
+
+
+@query(f"""WITH {CORPUS}, d AS (SELECT regexp_extract(text, 'def ([a-z_0-9]+)', 1) AS name, f, path, line_no FROM corpus WHERE text LIKE 'def %')
+SELECT name, path, line_no FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY f, path, line_no) AS r FROM d) WHERE r = 1""")
+def definition_lookup(spark, sf_dir):
+    lines = corpus(spark, sf_dir)
+    names = t(spark, sf_dir, "orders").select(F.concat(F.lit("order_"), "o_orderkey").alias("name"))
+    return index.first_definition(names, index.definitions(lines))
+
+
+@query(f"""WITH {CORPUS} SELECT name, path, line_no, code FROM (SELECT regexp_extract(text, '([a-z]+_[0-9]+)', 1) AS name, path, line_no, trim(text) AS code, text FROM corpus)
+WHERE text NOT LIKE 'def %' AND name IN (SELECT concat('part_', p_partkey) FROM part)""")
+def caller_lines(spark, sf_dir):
+    lines = corpus(spark, sf_dir)
+    names = t(spark, sf_dir, "part").select(F.concat(F.lit("part_"), "p_partkey").alias("name"))
+    return index.callers(names, index.tokens(lines), index.definitions(lines))
+
+
+EDGES = """e AS (SELECT DISTINCT concat('s', l_suppkey) AS src, concat('p', l_partkey) AS dst FROM lineitem
+  UNION ALL SELECT DISTINCT concat('p', l_partkey), concat('s', (l_suppkey * 7 + l_partkey) % 10) FROM lineitem WHERE l_partkey % 10 = 0)"""
+
+
+def _edges(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem")
+    down = li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+    up = li.where("l_partkey % 10 = 0").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), ((F.col("l_suppkey") * 7 + F.col("l_partkey")) % 10).cast("string")).alias("dst")).distinct()
+    return down.unionByName(up)
+
+
+BFS = """b AS (SELECT 's1' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM b JOIN e ON src = node WHERE depth < 3)"""
+
+
+@query(f"WITH RECURSIVE {EDGES}, {BFS} SELECT node, min(depth) AS depth FROM b GROUP BY node")
+def caller_bfs(spark, sf_dir):
+    return graph.reach(spark.createDataFrame([("s1",)], "node string"), _edges(spark, sf_dir), 3)
+
+
+@query(f"""WITH RECURSIVE {EDGES}, v AS (SELECT DISTINCT concat('p', l_partkey) AS node FROM lineitem WHERE l_partkey % 3 = 0),
+b AS (SELECT 's1' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM b JOIN e ON src = node WHERE depth < 3 AND dst NOT IN (SELECT node FROM v))
+SELECT node, min(depth) AS depth FROM b GROUP BY node""")
+def callee_bfs(spark, sf_dir):
+    seen = t(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0").select(F.concat(F.lit("p"), "l_partkey").alias("node")).distinct()
+    return graph.reach(spark.createDataFrame([("s1",)], "node string"), _edges(spark, sf_dir), 3, seen)
+
+
+@query("""WITH RECURSIVE p AS (SELECT concat('c', c_custkey) AS name, concat('n', c_nationkey) AS parent FROM customer UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation),
+a AS (SELECT concat('c', c_custkey) AS name, concat('c', c_custkey) AS ancestor, 0 AS depth FROM customer UNION SELECT a.name, p.parent, depth + 1 FROM a JOIN p ON p.name = a.ancestor)
+SELECT name, ancestor, min(depth) AS depth FROM a GROUP BY ALL""")
+def inheritance_closure(spark, sf_dir):
+    cust = t(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("name"), F.concat(F.lit("n"), "c_nationkey").alias("parent"))
+    nation = t(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
+    return graph.inherited(cust.select("name"), cust.unionByName(nation))
+
+
+@query("""WITH c AS (SELECT c_custkey, 1 AS priority, concat('own:', min(o_orderkey)) AS def FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
+  UNION ALL SELECT c_custkey, 2, concat('import:', min(s_suppkey)) FROM customer JOIN supplier ON s_nationkey = c_nationkey GROUP BY c_custkey
+  UNION ALL SELECT c_custkey, 3, concat('repo:', n_name) FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT c_custkey, arg_min(def, priority) AS def, min(priority) AS priority FROM c GROUP BY c_custkey""")
+def prioritised_resolution(spark, sf_dir):
+    cust, orders = t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), t(spark, sf_dir, "orders")
+    own = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("k")).join(cust, "c_custkey").select("c_custkey", F.lit(1).alias("priority"), F.concat(F.lit("own:"), "k").alias("def"))
+    near = t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.min("s_suppkey").alias("k"))
+    imported = cust.join(near, "c_nationkey").select("c_custkey", F.lit(2).alias("priority"), F.concat(F.lit("import:"), "k").alias("def"))
+    repo = cust.join(t(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.lit(3).alias("priority"), F.concat(F.lit("repo:"), "n_name").alias("def"))
+    every = own.unionByName(imported).unionByName(repo)
+    return every.groupBy("c_custkey").agg(F.min_by("def", "priority").alias("def"), F.min("priority").alias("priority"))
+
+
+@query("""WITH f AS (SELECT concat('src/p', p_partkey, '.rs') AS path, concat('#[no_mangle]', chr(10), 'pub fn part_', p_partkey, '() {}') AS content FROM part WHERE p_size > 25),
+x AS (SELECT DISTINCT unnest(regexp_extract_all(content, '(?s)#\\[no_mangle\\].*?fn\\s+([A-Za-z0-9_]+)', 1)) AS name FROM f),
+c AS (SELECT concat('part_', l_partkey) AS name, concat('src/o', l_orderkey, '.py') AS path, l_linenumber AS line_no FROM lineitem)
+SELECT name, path, CAST(line_no AS BIGINT) AS line_no, concat(name, '()') AS code FROM (SELECT DISTINCT * FROM c) SEMI JOIN x USING (name)""")
+def ffi_registry(spark, sf_dir):
+    rust = t(spark, sf_dir, "part").where("p_size > 25").select(F.concat(F.lit("src/p"), "p_partkey", F.lit(".rs")).alias("path"), F.concat(F.lit("part_"), "p_partkey").alias("func"), F.concat(F.lit("#[no_mangle]\npub fn part_"), "p_partkey", F.lit("() {}")).alias("content"))
+    calls = t(spark, sf_dir, "lineitem").select(F.concat(F.lit("src/o"), "l_orderkey", F.lit(".py")).alias("path"), F.lit(0).alias("file_ord"), F.lit("python").alias("lang"), F.col("l_linenumber").cast("long").alias("line_no"), F.concat(F.lit("part_"), "l_partkey", F.lit("()")).alias("clean"))
+    toks = index.tokens(calls.withColumn("stripped", F.col("clean")))
+    return linkage.ffi_callers(rust, linkage.ffi_exports(rust), toks, toks)
+
+
+@query("""WITH h AS (SELECT concat('inc/', word) AS header FROM (SELECT DISTINCT unnest(regexp_extract_all(html, 'href="/([a-z]+)"', 1)) AS word FROM pages)),
+u AS (SELECT DISTINCT concat('unit', page_id, '.c') AS unit, unnest(regexp_extract_all(html, 'href="/([a-z]+)"', 1)) AS target FROM pages)
+SELECT DISTINCT header, unit FROM u JOIN h ON header = concat('inc/', target)""")
+def compile_links(spark, sf_dir):
+    pages = t(spark, sf_dir, "pages")
+    words = pages.select(F.concat(F.lit("unit"), "page_id", F.lit(".c")).alias("path"), F.explode(F.regexp_extract_all("html", F.lit('href="/([a-z]+)"'), F.lit(1))).alias("word"))
+    units = words.groupBy("path").agg(F.concat_ws("\n", F.collect_list(F.concat(F.lit('#include "'), "word", F.lit('"')))).alias("content"))
+    headers = words.select(F.concat(F.lit("inc/"), "word").alias("path")).distinct()
+    return linkage.build_links(headers, units.select(F.col("path").alias("file")), linkage.includes(units))
+
+
+@query("""WITH e AS (SELECT concat('u', user_id) AS path, event_id AS idx, CASE WHEN value < 20 THEN concat('# ', event_id, ' "', event_type, '"') ELSE event_type END AS text FROM events),
+m AS (SELECT *, max(CASE WHEN text LIKE '# %' THEN idx END) OVER (PARTITION BY path ORDER BY idx) AS at FROM e)
+SELECT m.path, m.idx, m.text, coalesce(regexp_extract(x.text, '"([^"]*)"', 1), '') AS of_path, coalesce(m.at, -1) AS of_line FROM m LEFT JOIN e x ON x.path = m.path AND x.idx = m.at WHERE m.text NOT LIKE '# %'""")
+def linemarkers(spark, sf_dir):
+    text = F.when(F.col("value") < 20, F.concat(F.lit("# "), "event_id", F.lit(' "'), "event_type", F.lit('"'))).otherwise(F.col("event_type"))
+    return artifacts.markers(t(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("path"), F.col("event_id").alias("idx"), text.alias("text"))).fillna({"of_path": "", "of_line": -1})
+
+
+@query("""WITH a AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linestatus = 'O')
+SELECT *, 'lexical' AS source FROM a UNION ALL SELECT *, 'macro' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def merge_callers(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem")
+    keys = ["l_orderkey", "l_partkey"]
+    a = li.where("l_returnflag = 'R'").select(*keys).distinct()
+    b = li.where("l_linestatus = 'O'").select(*keys).distinct().join(a, keys, "left_anti")
+    return a.withColumn("source", F.lit("lexical")).unionByName(b.withColumn("source", F.lit("macro")))
+
+
+@query("""WITH r AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS func, regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS path, page_id AS seq FROM pages),
+k AS (SELECT *, CASE WHEN path = '' THEN 4 WHEN path = 'a/index' THEN 0 WHEN regexp_replace(path, '/?[^/]*$', '') = 'a' THEN 1 ELSE 2 END AS cat,
+ len(string_split(path, '/')) - 1 + 1 - 2 * CASE WHEN starts_with(path, 'a/') THEN 1 ELSE 0 END AS far FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY func ORDER BY cat, CASE WHEN cat = 2 THEN far ELSE 0 END, seq) AS rank FROM k)
+SELECT func, path, seq AS line_no, 'x' AS code, rank FROM o WHERE rank <= 3
+UNION ALL SELECT func, '[Pruned Instances]', 0, concat('omitted ', count(*) - 3), 4 FROM r GROUP BY func HAVING count(*) > 3""")
+def closeness_top_k(spark, sf_dir):
+    refs = t(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("func"), F.lit("a/index").alias("target"), F.regexp_extract("url", "^[a-z]+://[^/]+/(.*)$", 1).alias("path"), F.col("page_id").alias("line_no"), F.col("page_id").alias("seq"), F.lit("x").alias("code"))
+    return rank.closest(refs, 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT conv_id, turn, bytes FROM (SELECT conv_id, turn, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS bytes FROM conversations) WHERE bytes <= 2000")
+def budget_groups(spark, sf_dir):
+    return rank.pack_groups(t(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 2000).select("conv_id", "turn", "bytes")
+
+
+@query("""SELECT section, ord, bytes FROM (SELECT source AS section, doc_id AS ord, 100 + sum(strlen(text) + CASE WHEN r = 1 THEN strlen(concat('## ', source)) ELSE 0 END) OVER (ORDER BY source, doc_id)::BIGINT AS bytes
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)) WHERE bytes <= 1000000""")
+def sticky_packing(spark, sf_dir):
+    items = t(spark, sf_dir, "documents").select(F.col("source").alias("section"), F.col("doc_id").alias("ord"), F.concat(F.lit("## "), "source").alias("header"), "text")
+    return rank.sticky_pack(items, 1_000_000, 100).select("section", "ord", "bytes")
+
+
+@query()
+def greedy_upgrade(spark, sf_dir):
+    full = F.transform(F.split("text", "\n", -1), lambda x: F.length(x))
+    df = t(spark, sf_dir, "documents").select("doc_id", full.alias("full"), F.transform(full, lambda x: F.least(x, F.lit(20))).alias("least"))
+    return df.select("doc_id", F.concat_ws("", F.transform(rank.upgrades(F.col("full"), F.col("least"), F.lit(1500)), lambda x: x.cast("int").cast("string"))).alias("shown"))
+
+
+@query("""SELECT doc_id, CASE WHEN len(l) <= 3 THEN text ELSE concat(array_to_string(l[1:3], chr(10)), chr(10), '// cut') END AS text FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)""")
+def truncation(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", rank.truncated(F.col("text"), 3, F.lit("// cut")).alias("text"))
+
+
+@query("""SELECT DISTINCT concat('o', o_orderkey) AS path, unnest(range(s, s + n)) AS line_no FROM (SELECT o_orderkey, o_custkey AS s, o_orderkey % 4 AS n FROM orders) WHERE n > 0""")
+def hunk_lines(spark, sf_dir):
+    n = F.col("o_orderkey") % 4
+    count = F.when(n == 1, "").otherwise(F.concat(F.lit(","), n.cast("string")))
+    text = F.concat(F.lit("+++ b/x\n@@ -"), "o_custkey", F.lit(" +"), "o_custkey", count, F.lit(" @@ f\n+added\n@@ broken @@"))
+    return diff.changed_lines(t(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("path"), text.alias("diff")))
+
+
+@query(f"SELECT page_id, NOT list_has_any(string_split(url, '/')[:-2], [{_list((*IGNORED_DIRECTORIES, 'a'))}]) AS inside FROM pages")
+def ignored_directories(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", files.in_repository(F.col("url"), (*IGNORED_DIRECTORIES, "a")).alias("inside"))
+
+
+@query("SELECT page_id, regexp_replace(url, '^https://site', 'file:///srv/site') AS url FROM pages WHERE false UNION ALL SELECT page_id, replace(concat('/old/root/', page_id, ':/old/rooted/', page_id), '/old/root/', '/new/') FROM pages")
+def root_rewrite(spark, sf_dir):
+    text = F.concat(F.lit("/old/root/"), "page_id", F.lit(":/old/rooted/"), "page_id")
+    return t(spark, sf_dir, "pages").select("page_id", files.rewrite_root(text, "/old/root", "/new").alias("url"))
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
+def newest_artifact(spark, sf_dir):
+    return t(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("ts"))
+
+
+@query("""WITH f AS (SELECT concat('part_', p_partkey) AS func FROM part), w AS (SELECT p_partkey AS k, concat('tests/t', p_partkey % 50, '.py') AS path, concat('test_part_', p_partkey, CASE WHEN p_size % 3 = 0 THEN '_ok' WHEN p_size % 3 = 1 THEN 'er' ELSE '' END) AS word FROM part)
+SELECT func, path, word FROM f JOIN w ON word = concat('test_', func) OR starts_with(word, concat('test_', func, '_'))""")
+def test_names(spark, sf_dir):
+    parts = t(spark, sf_dir, "part")
+    tail = F.when(F.col("p_size") % 3 == 0, "_ok").when(F.col("p_size") % 3 == 1, "er").otherwise("")
+    words = parts.select(F.concat(F.lit("tests/t"), (F.col("p_partkey") % 50).cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("test_part_"), "p_partkey", tail).alias("word"))
+    return words.withColumn("func", F.explode(linkage.test_stems(F.col("word")))).join(parts.select(F.concat(F.lit("part_"), "p_partkey").alias("func")), "func").select("func", "path", "word")
+
+
+@query(f"""WITH {CORPUS} SELECT path, line_no, name, instr(text, name) - 1 AS utf16 FROM (SELECT path, line_no, concat('    total = total_', line_no, ' + rate') AS text, unnest(['total', concat('total_', line_no), 'rate']) AS name FROM corpus) WHERE name <> 'x'""")
+def identifier_positions(spark, sf_dir):
+    lines = corpus(spark, sf_dir)
+    text = F.concat(F.lit("    total = total_"), "line_no", F.lit(" + rate"))
+    return resolve.identifiers(lines.withColumn("raw", text).withColumn("clean", text)).select("path", "line_no", "name", F.col("utf16").cast("long").alias("utf16"))
+
+
+@query("""SELECT event_id, coalesce(max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS def_line FROM events""")
+def closest_assignment(spark, sf_dir):
+    above = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return t(spark, sf_dir, "events").select("event_id", F.coalesce(F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).over(above), F.lit(-1).cast("long")).alias("def_line"))
+
+
+@query("""SELECT l_orderkey, count(*) AS n, array_to_string(list(concat(l_linenumber, ':', l_partkey) ORDER BY l_linenumber, l_partkey), ',') AS occ FROM lineitem GROUP BY l_orderkey""")
+def occurrence_map(spark, sf_dir):
+    occ = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    grouped = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), occ.alias("o"))
+    return grouped.select("l_orderkey", "n", F.array_join(F.transform("o", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"])), ",").alias("occ"))
+
+
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source, trim(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def distinct_bodies(spark, sf_dir):
+    return t(spark, sf_dir, "documents").groupBy("source", F.sha2(index.strip(F.col("text")).cast("binary"), 256).alias("body")).agg(F.min("doc_id").alias("doc_id")).select("source", "doc_id")
+
+
+@query("""SELECT part_id, path, CASE p_size % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'c-family' WHEN 2 THEN 'rust' WHEN 3 THEN 'unknown' ELSE 'typescript' END AS lang, CASE p_size % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' WHEN 2 THEN 'rust' WHEN 3 THEN 'text' ELSE 'typescript' END AS fence,
+['.py', '.h', '.rs', '.md', '.tsx'][p_size % 5 + 1] AS ext FROM (SELECT p_partkey AS part_id, p_size, concat('src/x', p_partkey, ['.py', '.H', '.rs', '.md', '.tsx'][p_size % 5 + 1]) AS path FROM part)""")
+def language_dimension(spark, sf_dir):
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".py", ".H", ".rs", ".md", ".tsx")]), F.col("p_size") % 5 + 1)
+    path = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), F.concat(F.lit("src/x"), "p_partkey", ext).alias("path"))
+    return path.select("part_id", "path", language_of(F.col("path")).alias("lang"), fence_of(F.col("path")).alias("fence"), extension(F.col("path")).alias("ext"))
+
+
+@query()
+def payload_json(spark, sf_dir):
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    return t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(turns.alias("turns"))).alias("payload"))
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity < 30), b AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 20)
+SELECT *, 'first' AS only FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'second' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def compare_modes(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem")
+    return compare(li.where("l_quantity < 30").select("l_orderkey", "l_partkey"), li.where("l_quantity > 20").select("l_orderkey", "l_partkey"))
+
+
+@query(f"""WITH {CORPUS}, i AS (SELECT path, concat('m', (f + 1) % 40, '/f', f + 1) AS target, f FROM (SELECT DISTINCT path, f FROM corpus)) SELECT path, target, concat('src/', target, '.py') AS file FROM i WHERE concat('src/', target, '.py') IN (SELECT path FROM corpus)""")
+def import_resolution(spark, sf_dir):
+    own = corpus(spark, sf_dir).select("path", "file_ord", "lang").distinct()
+    n = F.col("file_ord") + 1
+    text = F.concat(F.lit("import m"), (n % 40).cast("string"), F.lit(".f"), n.cast("string"))
+    imp = linkage.imports(own.select("path", "lang", F.lit(1).alias("line_no"), text.alias("raw"), text.alias("clean")))
+    return linkage.resolve_imports(imp, own)
+
+
+@query()
+def variable_resolution(spark, sf_dir):
+    """Scopes, line rules and the cascade on the corpus: each call's name is assigned in its own order's block."""
+    ship(spark)
+    lines = corpus(spark, sf_dir)
+    text = F.when(F.col("clean").startswith("def "), F.col("clean")).otherwise(F.concat(F.lit("    total = rate"), F.lit("")))
+    lines = lines.select("path", "file_ord", "lang", "line_no", *[text.alias(c) for c in ("raw", "stripped", "clean")])
+    uses = lines.where(~F.col("clean").startswith("def ")).select("path", "line_no", F.lit("total").alias("name"))
+    none = spark.createDataFrame([], "path string, file string")
+    return resolve.resolve_variables(uses, lines, resolve.scopes(lines), none)
+
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: who calls the parts that the corpus's functions name, with the function around each call."""
+    lines = corpus(spark, sf_dir)
+    calls = caller_lines(spark, sf_dir)
+    spans = indentation_bounds(spark, sf_dir).withColumn("line_no", F.explode(F.sequence(F.col("start0") + 1, "end0")))
+    return calls.join(spans.select("path", "line_no", "func"), ["path", "line_no"]).join(lines.select("path", "file_ord").distinct(), "path")
