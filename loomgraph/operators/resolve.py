@@ -144,12 +144,13 @@ def identifiers(lines: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
         flow = flow | ((F.col("lang") == x.name) & F.col("name").isin(*x.flow)) if x.flow else flow
     rows = lines.select("path", "lang", "line_no", "raw", F.explode(F.array_distinct(F.regexp_extract_all("clean", F.lit(pattern), F.lit(1)))).alias("name"))
     rows = rows.where(~flow & ~F.col("name").isin("def", "class", "self", "this", "True", "False", "None", "true", "false", "null", "let", "const", "var", "mut", "fn", "func", "function", *ignored))
-    at = F.regexp_instr("raw", F.concat(F.lit(r"(?<![\w.])"), F.col("name"), F.lit(r"(?!\w)")))
-    before = F.substring("raw", F.lit(1), F.greatest(at - 1, F.lit(0)))
-    return rows.select("path", "line_no", "name", utf16_length(before).alias("utf16"))
+    # the engine's strings are UTF-16, and so is a match's place
+    at = F.regexp_instr("raw", F.concat(F.lit(r"(?<![\w.])"), F.col("name"), F.lit(r"(?!\w)"))) - 1
+    return rows.select("path", "line_no", "name", F.greatest(at, F.lit(0)).alias("utf16"))
 
 
 def utf16_length(text):
+    """Length of a string in UTF-16 units."""
     return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")
 
 

@@ -70,5 +70,5 @@ def rewrite_root(text: Column, old: str, new: str, ignore_case: bool = False) ->
     for style in ("/", "\\"):
         find = _quoted(old.replace("/", style))
         put = new.replace("\\", "/").rstrip("/").replace("/", style).replace("\\", "\\\\").replace("$", "\\$")
-        out = F.regexp_replace(out, f"{'(?i)' if ignore_case else ''}(?<![A-Za-z0-9_.-]){find}(?![A-Za-z0-9_.-])", put)
+        out = F.regexp_replace(out, f"{'(?i)' if ignore_case else ''}(?:(?<![A-Za-z0-9_.-])|(?<=\\s-[A-Za-z]|^-[A-Za-z]|-isystem|-iquote|-include)){find}(?![A-Za-z0-9_.-])", put)
     return out
