@@ -74,7 +74,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WIN
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
-    """docs with all its columns, later repeated runs deleted from text; plus n_lines and n_removed (long)."""
+    """docs with all its columns, later repeated runs deleted from text; plus n_lines and n_removed (long), which replace columns of these names."""
     own = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = own.where("doc_id is not null and text is not null")
     gone = removed_lines(known, min_words, window)
@@ -91,5 +91,5 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW
     new = F.when(F.col("gone_spans").isNull(), F.col("text")).otherwise(F.array_join(hit, "\n"))
     removed = F.coalesce(F.aggregate("gone_spans", F.lit(0).cast("long"), lambda a, r: a + r["e"] - r["s"] + 1), F.lit(0)).cast("long")
     n = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
-    cols = [(new if i == at else F.col(f"c{i}__")).alias(c) for i, c in enumerate(names)]
+    cols = [(new if i == at else F.col(f"c{i}__")).alias(c) for i, c in enumerate(names) if c.lower() not in ("n_lines", "n_removed")]
     return joined.select(*cols, n.alias("n_lines"), removed.alias("n_removed"))

@@ -101,7 +101,7 @@ def _tokens(text):
 
 
 def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """Rows of docs(doc_id, source, text, ...) as often as the mixture takes them, with all their columns and n_tokens, epoch, block and turn (the block's place in the epoch's permutation)."""
+    """Rows of docs(doc_id, source, text, ...) as often as the mixture takes them, with all their columns and n_tokens, epoch, block and turn (the block's place in the epoch's permutation), which replace columns of these names."""
     names = docs.columns
     lower = [c.lower() for c in names]
     col = {n: F.col(f"c{names.index(n) if n in names else lower.index(n)}__") for n in ("doc_id", "source", "text")}
@@ -115,4 +115,5 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     inside = Window.partitionBy("skey", "block", "epoch").orderBy("place", col["doc_id"])
     cut = flat.join(small_side(turns.where("cut")), ["skey", "block"]).withColumn("sofar", F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))).where("sofar <= takes").drop("sofar")
     out = whole.unionByName(cut)
-    return out.select(*[F.col(f"c{i}__").alias(c) for i, c in enumerate(names)], "n_tokens", "epoch", "block", "turn")
+    own = ("n_tokens", "epoch", "block", "turn")
+    return out.select(*[F.col(f"c{i}__").alias(c) for i, c in enumerate(names) if c.lower() not in own], *own)
