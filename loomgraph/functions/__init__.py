@@ -1 +1 @@
-"""Subpackage."""
+"""Scalar text functions and the language dimension."""

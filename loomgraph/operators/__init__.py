@@ -1 +1 @@
-"""Subpackage."""
+"""Operators over code: index, graph, linkage, resolution, ranking."""

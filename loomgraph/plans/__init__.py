@@ -1 +1 @@
-"""Subpackage."""
+"""Whole programs: the context engine and the contract queries."""

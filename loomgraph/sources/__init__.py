@@ -1 +1 @@
-"""Subpackage."""
+"""Sources and sinks: files, git, diffs, coverage, compilation databases, configuration."""

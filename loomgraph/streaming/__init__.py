@@ -1 +1 @@
-"""Subpackage."""
+"""Changes as a stream: an extension for snapshots that follow one another."""
