@@ -1,23 +1,29 @@
-"""Connected components of an undirected graph, with DataFrames only."""
+"""Connected components of an undirected graph."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
+#: A graph of at most so many edges, as counted, fits one executor task; beyond, rounds of joins do the same.
+ONE_TASK = 500_000
 
-def components(edges: DataFrame) -> DataFrame:
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) for every node of edges(a, b); root is the smallest node reachable.
 
-    Each round gives every node the least root among its neighbours' and then jumps to its root's root, so that
-    the number of rounds grows with the logarithm of a component's width. A round is written to the shared folder,
-    which cuts its lineage; nothing is gathered on the driver but the count of changes. A node with many neighbours
-    meets them in a partial aggregation, not in one list. Self loops are allowed; null ends are left out.
+    A graph of up to `one_task` edges is closed by union-find in one task of an executor. In a larger one each round
+    gives every node the least root among its neighbours' and then jumps to its root's root; a round is written to
+    the shared folder, which cuts its lineage, and a node with many neighbours meets them in a partial aggregation,
+    not in one list. The driver sees counts only. Self loops are allowed; null ends are left out.
     """
-    both = edges.where("a is not null and b is not null").select("a", "b")
-    both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    once = written(edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    if once.count() <= one_task:
+        return written(once.groupBy(F.lit(0).alias("all")).applyInPandas(_union, "node long, root long"), "roots")
+    both = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
     state = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"), "roots")
     while True:
         seen = both.join(state.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
@@ -27,3 +33,20 @@ def components(edges: DataFrame) -> DataFrame:
         state = new.select("node", "root")
         if new.where("root <> was").limit(1).count() == 0:
             return state
+
+
+def _union(edges: pd.DataFrame) -> pd.DataFrame:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for a, b in zip(edges["a"].tolist(), edges["b"].tolist(), strict=True):
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    return pd.DataFrame({"node": nodes, "root": [find(x) for x in nodes]}, dtype="int64")

@@ -99,7 +99,8 @@ def test_near_copies_in_one_bucket(spark):
     assert {out[i] for i in range(120)} == {0} and all(out[1000 + i] == 1000 + i for i in range(20))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, one_task):
     rnd = random.Random(1)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
     root = {x: x for e in edges for x in e}
@@ -112,7 +113,7 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
     assert got == {x: find(x) for x in root}
 
 
