@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.languages import C_DEFINITION, CALLEE, CALLEE_IGNORED, DECLARATION, GENERIC_DEFINITION, NOT_A_NAME, definition_pattern, languages
+from ..functions.languages import C_DEFINITION, CALLEE, CALLEE_IGNORED, DECLARATION, GENERIC_DEFINITION, NOT_A_NAME, by_name, definition_pattern, languages
 from ..functions.stripping import strip_lines
 
 TOKEN = r"operator\s*[^\sA-Za-z0-9_(]+|[A-Za-z_$][A-Za-z0-9_$]*"
@@ -47,12 +47,12 @@ def tokens(lines: DataFrame) -> DataFrame:
 def definitions(lines: DataFrame) -> DataFrame:
     """(name, path, file_ord, lang, line_no) of what each line defines, by its language's patterns; a C-style signature that ends in `;` is none."""
     c_style = [x.name for x in languages() if x.c_style]
-    parts = [F.regexp_extract_all("clean", F.lit(definition_pattern(GENERIC_DEFINITION, languages()[0])), F.lit(1))]
+    parts = [F.regexp_extract_all("clean", F.lit(definition_pattern(GENERIC_DEFINITION, by_name("python"))), F.lit(1))]
     for x in languages():
         for p in x.definitions:
             got = F.regexp_extract_all("clean", F.lit(definition_pattern(p, x)), F.lit(1))
             parts.append(F.when(F.col("lang") == x.name, got).otherwise(F.array().cast("array<string>")))
-    signature = F.regexp_extract_all("clean", F.lit(definition_pattern(C_DEFINITION, languages()[1])), F.lit(1))
+    signature = F.regexp_extract_all("clean", F.lit(definition_pattern(C_DEFINITION, by_name("c-family"))), F.lit(1))
     parts.append(F.when(F.col("lang").isin(*c_style) & ~strip(F.col("clean")).endswith(";"), signature).otherwise(F.array().cast("array<string>")))
     names = F.array_distinct(F.flatten(F.array(*parts)))
     return lines.where("lang <> 'unknown'").select(F.explode(names).alias("name"), "path", "file_ord", "lang", "line_no").where((F.col("name") != "") & ~F.col("name").isin(*NOT_A_NAME))
