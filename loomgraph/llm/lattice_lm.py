@@ -33,7 +33,7 @@ from .common import LOWER, batch_rows, pick, remainder, written
 BLOCK_BYTES = 16 << 20
 #: Rounds in which expected counts over all segmentations replace those of the tokeniser's own.
 EM_ROUNDS = 2
-#: Longer words, with the space before them, take the sequential recursion.
+#: Longer words, with the space before them, take the sequential recursions, in learning and in scoring.
 SHORT = 64
 SMOOTH = 0.5
 
@@ -133,8 +133,8 @@ def _log_sum(parts: list[np.ndarray]) -> np.ndarray:
 def forward(rows: np.ndarray, scores: np.ndarray, vocab: Vocabulary, counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
     """Log marginal probability of rows of equal length; with counts, the expected uses of each piece are added to `expected`."""
     n, length = rows.shape
-    if length > SHORT and expected is None:
-        return np.array([_long(r, scores, vocab) for r in rows])
+    if length > SHORT:
+        return np.array([_long(r, scores, vocab, 0.0 if counts is None else counts[i], expected) for i, r in enumerate(rows)])
     with_none = np.append(scores, -np.inf)  # -1 finds the last
     arcs = {w: (p, with_none[p]) for w, p in vocab.arcs(rows)}
     live = [w for w, (p, _) in arcs.items() if (p >= 0).any()]
@@ -155,24 +155,44 @@ def forward(rows: np.ndarray, scores: np.ndarray, vocab: Vocabulary, counts: np.
     return alpha[length]
 
 
-def _long(row: np.ndarray, scores: np.ndarray, vocab: Vocabulary) -> float:
-    """The recursion for one long word, place by place, with the arcs of some thousand places at a time."""
-    most, n, step = vocab.longest, len(row), 4096
+def _long(row: np.ndarray, scores: np.ndarray, vocab: Vocabulary, count: float = 0.0, expected: np.ndarray | None = None, step: int = 4096) -> float:
+    """The recursions for one long word, place by place, with the arcs of `step` places at a time; the expected uses go to `expected`, if given."""
+    most, n = vocab.longest, len(row)
     with_none = np.append(scores, -np.inf)
-    alpha = np.full(n + most + 1, -np.inf)  # alpha[most + j]
-    alpha[most] = 0
-    for at in range(0, n, step):
-        end = min(n, at + step)
+
+    def pieces(at: int, end: int) -> np.ndarray:
+        """Piece numbers of the arcs into at + 1 .. end, by start."""
         begin = max(0, at - most)
-        into = np.full((end - at, most), -np.inf)  # arcs into at + 1 .. end, by start
+        into = np.full((end - at, most), -1, np.int32)
         for w, piece in vocab.arcs(row[None, begin:end]):
             stop = begin + w + np.arange(piece.shape[1])
             ok = stop > at
-            into[stop[ok] - at - 1, most - w] = with_none[piece[0][ok]]
+            into[stop[ok] - at - 1, most - w] = piece[0][ok]
+        return into
+
+    alpha = np.full(n + most + 1, -np.inf)  # alpha[most + j]
+    alpha[most] = 0
+    for at in range(0, n, step):
+        end = min(n, at + step)
+        into = with_none[pieces(at, end)]
         for j in range(at + 1, end + 1):
             parts = alpha[j : j + most] + into[j - at - 1]
             top = parts.max()
             alpha[most + j] = top + np.log(np.exp(parts - top).sum())
+    if expected is not None:
+        beta = np.full(n + most + 1, -np.inf)  # beta[most + j]
+        beta[most + n] = 0
+        for at in reversed(range(0, n, step)):
+            end = min(n, at + step)
+            piece = pieces(at, end)
+            into = with_none[piece]
+            for j in range(end, at, -1):
+                beta[j : j + most] = np.logaddexp(beta[j : j + most], into[j - at - 1] + beta[most + j])
+            # each arc's start, row by row as in `into`
+            starts = np.lib.stride_tricks.sliding_window_view(alpha, most)[at + 1 : end + 1]
+            ok = piece >= 0
+            use = np.exp((starts + into + beta[most + at + 1 : most + end + 1, None])[ok] - alpha[most + n]) * count
+            expected += np.bincount(piece[ok], use, len(expected))
     return float(alpha[most + n])
 
 
@@ -233,9 +253,8 @@ def _expected_pieces(path, scores):
         total = np.zeros(vocab.size)
         for batch in batches:
             words, c = batch_rows(batch, "word", "c")
-            short = [i for i, w in enumerate(words) if len(w) < SHORT]
-            c = np.array(c, float)[short]
-            for some, rows in _by_length([words[i] for i in short]):
+            c = np.array(c, float)
+            for some, rows in _by_length(words):
                 forward(rows, scores, vocab, c[some], total)
         yield _piece_rows(total)
 

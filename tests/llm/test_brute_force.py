@@ -199,6 +199,40 @@ def test_lattice_sums_all_segmentations():
     assert (total[: len(lengths)] * lengths).sum() == pytest.approx(4)
 
 
+def test_lattice_learns_from_long_words(spark):
+    """Block by block the expected counts are those of the whole lattice, and words of 64 bytes and more count in the fit."""
+    vocab = lattice_lm.vocabulary()
+    scores = np.random.default_rng(2).normal(-8, 2, vocab.size)
+    for word in (b" " + b"the" * 30, b" " + "\u4e2d\u6587\u5206\u8bcd".encode() * 9, b" " + b"a--------b" * 40):
+        row = np.frombuffer(word, np.uint8)
+        with_none = np.append(scores, -np.inf)
+        arcs = [(w, i, p) for w, found in vocab.arcs(row[None]) for i, p in enumerate(found[0]) if p >= 0]
+        alpha, beta = np.full(len(row) + 1, -np.inf), np.full(len(row) + 1, -np.inf)
+        alpha[0] = beta[-1] = 0
+        for w, i, p in sorted(arcs, key=lambda x: x[0] + x[1]):
+            alpha[i + w] = np.logaddexp(alpha[i + w], alpha[i] + with_none[p])
+        for w, i, p in sorted(arcs, key=lambda x: -x[1]):
+            beta[i] = np.logaddexp(beta[i], beta[i + w] + with_none[p])
+        want = np.zeros(vocab.size)
+        for w, i, p in arcs:
+            want[p] += 3 * np.exp(alpha[i] + scores[p] + beta[i + w] - alpha[-1])
+        for step in (7, 50, 4096):
+            got = np.zeros(vocab.size)
+            assert lattice_lm._long(row, scores, vocab, 3.0, got, step) == pytest.approx(alpha[-1])
+            assert np.allclose(got, want)
+        got = np.zeros(vocab.size)
+        lattice_lm.forward(row[None], scores, vocab, np.array([3.0]), got)
+        assert np.allclose(got, want)
+    # a corpus of long words alone: the pieces they are made of must be likelier than the floor
+    long = "\u4e2d\u6587\u5206\u8bcd" * 10
+    counts = spark.createDataFrame([(bytearray(long.encode()), 50)], "word binary, c long")
+    model = lattice_lm._fit(counts, 1, None, lattice_lm.EM_ROUNDS)
+    used = np.exp(model.scores) > 2 * np.exp(model.scores.min())
+    assert used.any()
+    row = np.frombuffer(b" " + long.encode(), np.uint8)
+    assert lattice_lm.forward(row[None], model.scores, vocab)[0] > lattice_lm.forward(row[None], np.full(vocab.size, model.scores.min()), vocab)[0] + 10
+
+
 def test_line_dedup(spark):
     rnd = random.Random(4)
     passages = [[" ".join(f"p{k}_{i}_{j}" for j in range(rnd.randint(5, 30))) for i in range(rnd.randint(2, 6))] for k in range(6)]
