@@ -1,9 +1,10 @@
-"""Best-fit packing of tokenised documents into fixed-length sequences, by hierarchical residual packing.
+"""Best-fit packing of tokenised documents into fixed-length sequences, in two levels.
 
 Each scan task tokenises its documents, cuts those over the capacity, and best-fits its own pieces (largest
-first). Bins that are nearly full are final; the underfull ones go on as items of their fill, and a tree of tasks
-merges the items of FAN groups at a time with the same best-fit rounds until one group is left. Only bin ids and
-fills travel, so a level's task holds at most FAN * CARRY short rows, whatever the corpus; texts never move.
+first). Bins that are nearly full are final; every underfull one goes on as an item of its fill. Only the number of
+items of each fill, below the capacity, is collected; best-fit decreasing over these counts, all items at once, gives
+ranges of equal sequences. An item finds its place by its rank among those of its fill (the scan task's own rank and
+the counts of the tasks before), so no task holds the items and none is left out; texts never move.
 
 Token ids are those that `tokenizers` gives with the byte-level BPE file. Words repeat, so a word's ids come from
 a bounded cache; a miss is encoded with the same vocabulary in rank form (the two are compared on a probe when a
@@ -22,22 +23,18 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, pick, written
+from .common import batch_rows, pick, small_side, written
 
 CAPACITY = 1024
 END_ID = 2
 #: A bin with at most this much room is nearly full.
 SLACK = 8
-#: Groups of bins merged by one task of the tree.
-FAN = 32
-#: Underfull bins that a group hands on; fuller ones beyond are closed as they are (whole and valid, only less full).
-CARRY = 50_000
 #: Pieces that a scan task packs at a time.
 BLOCK = 400_000
 CACHE = 400_000
@@ -142,67 +139,106 @@ def best_fit(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[int], lis
     return bin_of, offset, fills
 
 
+def best_fit_counts(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
+    """best_fit() over counts by size: rows (first item, items a bin, first bin, offset, size), items numbered by falling size, and the number of bins.
+
+    Equal bins are a range of numbers; a size splits at most two, so the rows depend on the sizes and not on the counts.
+    """
+    room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    mask, item, bins, rows = 0, 0, 0, []
+    for s in sorted(counts, reverse=True):
+        left = counts[s]
+        while left:
+            fits = mask >> s
+            if fits:
+                r = s + (fits & -fits).bit_length() - 1
+                first, n = room[r].pop()
+                if not room[r]:
+                    mask &= ~(1 << r)
+            else:
+                r, first, n = capacity, bins, -(-left // (capacity // s))
+                bins += n
+            # a bin that took one is the tightest for the next, until it has no room
+            most = r // s
+            full = min(n, left // most)
+            parts = [(full, most), (1, left - full * most) if full < n else (0, 0)]
+            for m, k in parts:
+                if m and k:
+                    rows.append((item, k, first, capacity - r, s))
+                    room[r - k * s].append((first, m))
+                    mask |= 1 << (r - k * s)
+                    item, left, first, n = item + m * k, left - m * k, first + m, n - m
+            if n:
+                room[r].append((first, n))
+                mask |= 1 << r
+    return np.array(rows, np.int64).reshape(-1, 5), bins
+
+
 def _scan(capacity: int, slack: int, paths: tuple):
     names = ("doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill", "grp")
     schema = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in names])
 
-    def rows(pieces, grp, first):
+    def rows(pieces, grp, first, ranks):
         bin_of, offset, fills = best_fit([p[3] for p in pieces], capacity)
         out = [(*p, first + b, o, None, grp) for p, b, o in zip(pieces, bin_of, offset, strict=True)]
-        out += [(None, -1, None, None, None, first + b, None, f, grp) for b, f in enumerate(fills) if f < capacity - slack]
+        for b, f in enumerate(fills):
+            if f < capacity - slack:  # start: its rank among the task's bins of this fill
+                out.append((None, -1, ranks[f], None, None, first + b, None, f, grp))
+                ranks[f] += 1
         for at in range(0, len(out), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 50_000], strict=True), schema, strict=True)], schema=schema)
 
     def run(batches):
         grp, first, pieces = TaskContext.get().partitionId(), TaskContext.get().partitionId() << 36, []
+        ranks = [0] * (capacity + 1)
         encode, end = encoder(*paths), Encoder._bytes([END_ID])
         for batch in batches:
             for doc, text in zip(*batch_rows(batch, "doc_id", "text"), strict=True):
                 pieces += [(doc, *p) for p in cut(encode(text or "") + end, capacity)]
                 if len(pieces) >= BLOCK:
-                    yield from rows(pieces, grp, first)
+                    yield from rows(pieces, grp, first, ranks)
                     first += len(pieces)
                     pieces = []
         if pieces:
-            yield from rows(pieces, grp, first)
+            yield from rows(pieces, grp, first, ranks)
 
     return run
 
 
-def _merge(capacity: int, slack: int, carry: int, last: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True], ignore_index=True)
-        bin_of, offset, fills = best_fit(pdf["fill"].tolist(), capacity)
-        hosts = [0] * len(fills)
-        for b, o, name in zip(bin_of, offset, pdf["bin"].tolist(), strict=True):
-            if o == 0:
-                hosts[b] = name
-        open_ = sorted((f, b) for b, f in enumerate(fills) if f < capacity - slack and not last)[:carry]
-        on = {b: f for f, b in open_}
-        return pd.DataFrame({"bin": pdf["bin"], "host": [hosts[b] for b in bin_of], "off": offset, "fill": pd.array([on.get(b) if o == 0 else None for b, o in zip(bin_of, offset, strict=True)], "Int64"), "grp": pdf["grp"]})
+def _place(rows: np.ndarray, first_host: int):
+    schema = pa.schema([(n, pa.int64()) for n in ("bin", "host", "off")])
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            item, k, first, offset, size = rows[np.searchsorted(rows[:, 0], at, "right") - 1].T
+            host, off = first_host + first + (at - item) // k, offset + (at - item) % k * size
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(host), pa.array(off)], schema=schema)
 
     return run
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan: int = FAN, carry: int = CARRY, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """Per piece of docs(doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def placed(items: DataFrame, first_host: int, capacity: int = CAPACITY) -> DataFrame:
+    """(bin, host, off) of items(bin, fill, grp, rank), rank from 0 among those of a fill and grp; hosts are numbered from first_host."""
+    counts = written(items.groupBy("fill", "grp").agg(F.count("*").alias("n")), "fills")
+    by_fill = {r.fill: r.n for r in counts.groupBy("fill").agg(F.sum("n").alias("n")).collect()}
+    rows, _ = best_fit_counts(by_fill, capacity)
+    starts = np.zeros(capacity + 1, np.int64)  # items of larger fills
+    for f in range(capacity - 1, -1, -1):
+        starts[f] = starts[f + 1] + by_fill.get(f + 1, 0)
+    before = F.sum("n").over(Window.partitionBy("fill").orderBy("grp")) - F.col("n")
+    first = F.get(F.lit(starts.tolist()), F.col("fill").cast("int"))
+    start = counts.select("fill", "grp", (before + first).alias("first"))
+    numbered = items.join(small_side(start), ["fill", "grp"]).select("bin", (F.col("first") + F.col("rank")).alias("item"))
+    return numbered.mapInArrow(_place(rows, first_host), "bin long, host long, off long")
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, fan: int | None = None, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    """Per piece of docs(doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset. `fan` has no effect: all groups are matched at once."""
     spread = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = written(spread.mapInArrow(_scan(capacity, slack, (json_path, ranks_path)), "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, grp long"), "pieces")
     pieces = packed.where("piece >= 0").select("doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset")
-    items = packed.where("piece < 0").select("bin", "fill", "grp")
+    items = packed.where("piece < 0").select("bin", "fill", "grp", F.col("start").alias("rank"))
     groups = (packed.agg(F.max("grp")).first()[0] or 0) + 1
-    place = None
-    while True:
-        groups = -(-groups // fan)
-        items = items.withColumn("grp", F.floor(F.col("grp") / fan).cast("long"))
-        merged = written(items.groupBy("grp").applyInPandas(_merge(capacity, slack, carry, groups == 1), "bin long, host long, off long, fill long, grp long"), "merge")
-        moved = merged.select("bin", "host", "off")
-        if place is None:
-            place = moved
-        else:
-            step = moved.select(F.col("bin").alias("host"), F.col("host").alias("host2"), F.col("off").alias("off2"))
-            place = written(place.join(step, "host", "left").select("bin", F.coalesce("host2", "host").alias("host"), (F.col("off") + F.coalesce("off2", F.lit(0))).alias("off")), "place")
-        if groups == 1:
-            break
-        items = merged.where("fill is not null").select("bin", "fill", "grp")
+    place = written(placed(items, groups << 36, capacity), "place")
     return pieces.join(place, "bin", "left").select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("host", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("off", F.lit(0))).alias("offset"))

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import lattice_lm, mixing, packing, queries, toxicity
 from loomgraph.llm.byte_cnn import ByteCNN, cut_windows
@@ -150,6 +151,34 @@ def test_tree_of_merges(docs):
     assert abs(one.select("sequence_id").distinct().count() - many.select("sequence_id").distinct().count()) <= 3
 
 
+def test_packing_by_counts_is_best_fit():
+    rnd = random.Random(6)
+    for _ in range(200):
+        capacity = rnd.choice([10, 64, 1024])
+        counts = {rnd.randint(1, capacity): rnd.randint(1, 40) for _ in range(rnd.randint(0, 30))}
+        rows, n = packing.best_fit_counts(counts, capacity)
+        _, _, fills = packing.best_fit([s for s, c in counts.items() for _ in range(c)], capacity)
+        used, ends = defaultdict(list), [*[r[0] for r in rows[1:]], sum(counts.values())]
+        for (item, k, first, offset, size), end in zip(rows.tolist(), ends, strict=True) if len(rows) else ():
+            for i in range(end - item):
+                used[first + i // k].append((offset + i % k * size, size))
+        got = []
+        for parts in used.values():
+            parts.sort()
+            assert parts[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(parts, parts[1:], strict=False))
+            got.append(sum(parts[-1]))
+        assert sorted(got) == sorted(fills) and len(used) == n
+        assert Counter(s for parts in used.values() for _, s in parts) == counts
+
+
+def test_every_underfull_bin_is_handed_on(spark):
+    """40 scan tasks whose long and short documents lie apart: more underfull bins than 50,000, and each long one takes a short one."""
+    n = 120_000
+    items = spark.range(0, 2 * n, 1, 40).selectExpr("id AS bin", f"if(id < {n}, 650L, 300L) AS fill", f"id div {n // 20} AS grp", f"id % {n // 20} AS rank")
+    out = packing.placed(items, 1 << 40).join(items, "bin").groupBy("host").agg(F.sum("fill").alias("fill"), F.sort_array(F.collect_list("off")).alias("off"))
+    assert out.groupBy("fill", "off").count().collect() == [(950, [0, 650], n)]
+
+
 def test_words_encode_like_whole_texts():
     enc, rnd = packing.encoder(), random.Random(2)
     parts = [" ", "  ", "\n", " \n", "\n ", "a", "Bc", "'s", "é", "12", "..", "\t", "中", "<|endoftext|>"]
