@@ -62,7 +62,7 @@ def line_fails(line: Column) -> Column:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """Per row of docs(doc_id, text): the counts, base_failed, n_failed_lines, lost_chars, kept and the cleaned text."""
+    """Per row of docs(doc_id, text): the counts, base_failed, n_failed_lines, lost_chars, kept and text, the cleaned text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = pick(docs, "doc_id", "text").select("doc_id", text.alias("text"))
     lines = F.filter(F.split(F.col("text"), "\n", -1), lambda x: F.length(F.regexp_replace(x, f"^{SPACE}+", "")) > 0)
@@ -92,6 +92,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     lost = F.length(F.array_join(_words(F.array_join("failed", "\n")), ""))
     df = _keep(df, *[F.col(c) for c in df.columns if c not in ("s", "failed")], F.when(F.size("s") > 0, covered).otherwise(0).cast("long").alias("n_repeat_words"), F.size("failed").cast("long").alias("n_failed_lines"), F.when(F.size("failed") > 0, lost).otherwise(0).cast("long").alias("lost_chars"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
+    df = df.withColumn("text", F.when(F.col("n_failed_lines") > 0, cleaned(F.col("text"))).otherwise(F.col("text")))
     return df.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * LOST_PERCENT))
 
 

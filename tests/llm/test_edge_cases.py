@@ -62,6 +62,14 @@ def test_odd_rows(docs, labels, name):
     assert len(out) == len(ROWS) if name in ONE_A_ROW else len(out) >= len(ROWS)
 
 
+def test_failing_lines_are_removed(spark):
+    prose = "Ten plain words of a text that nobody would take away."
+    rows = [(1, f"Home | News | Sport | About\n{prose}\n\n  {prose.upper()}\nAll rights reserved"), (2, f"{prose}\n### $$$ !!!"), (3, f" {prose}\n"), (4, "Log in")]
+    out = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i].text for i in (1, 2, 3, 4)] == [f"{prose}\n\n  {prose.upper()}", prose, f" {prose}\n", ""]
+    assert [(out[i].n_failed_lines, out[i].kept) for i in (1, 2, 3, 4)] == [(2, True), (1, True), (0, True), (1, False)]
+
+
 @pytest.mark.parametrize("name", list(OPERATORS))
 def test_empty_table(docs, labels, name):
     assert OPERATORS[name](docs.where("false"), labels.where("false")).count() == 0
