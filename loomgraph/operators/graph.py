@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +76,12 @@ def trace_callees(seeds: DataFrame, visited: DataFrame, lines: DataFrame, defs:
     return found
 
 
-def inherited(classes: DataFrame, parents: DataFrame, depth: int = 32) -> DataFrame:
-    """(name, ancestor, depth) for classes(name) over parents(name, parent): least depth, cycles cut, the class itself at 0."""
+def inherited(classes: DataFrame, parents: DataFrame, depth: int | None = None) -> DataFrame:
+    """(name, ancestor, depth) for classes(name) over parents(name, parent): least depth, cycles cut, the class itself at 0; with depth, no level beyond it."""
     frontier = written(classes.select("name", F.col("name").alias("ancestor")).distinct(), "frontier")
     seen, out = frontier, frontier.withColumn("depth", F.lit(0))
     up = parents.select(F.col("name").alias("ancestor"), F.col("parent").alias("next"))
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         step = frontier.join(up, "ancestor").select("name", F.col("next").alias("ancestor")).distinct()
         frontier = written(step.join(seen, ["name", "ancestor"], "left_anti"), "frontier")
         if frontier.isEmpty():

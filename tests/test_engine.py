@@ -4,6 +4,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.operators.graph import inherited
 from loomgraph.plans.engine import ContextEngine, Options, compare
 from loomgraph.sources import artifacts, diff, git
 from loomgraph.sources.files import case_sensitive, in_repository, newest_artifact, rewrite_root, with_order, within_root
@@ -104,3 +105,9 @@ def test_references_replace_callers(spark):
     refs = spark.createDataFrame([("helper", "a.py", f"d/{i}.py", i + 1, i, "helper()") for i in range(20)], "func string, target string, path string, line_no long, seq long, code string")
     ctx = ContextEngine(spark, fs).context(spark.createDataFrame([("a.py", 2)], "path string, line_no long"), references=refs)
     assert ctx["callers"].count() == 16
+
+
+def test_inheritance_has_no_depth_limit(spark):
+    parents = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(35)] + [("c35", "c30")], "name string, parent string")
+    got = {(r.ancestor, r.depth) for r in inherited(spark.createDataFrame([("c0",)], "name string"), parents).collect()}
+    assert got == {(f"c{i}", i) for i in range(36)}
