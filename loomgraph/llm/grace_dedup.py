@@ -1,8 +1,9 @@
 """Exact dedup by Grace hashing.
 
 Texts are equal when their UTF-8 bytes are identical after lower-casing A-Z. Each scan task first folds its own
-rows in a table of complete contents, so that a group of copies, however large, sends one text per task. The
-folded records are dealt out by 64 bits of their hash; in each bucket a bounded open-addressing table (a Python
+rows in a table of complete contents, so that a group of copies, however large, sends one text per task, and the
+rows themselves go as numbers, which no bucket reads: they are joined to their class at the end. The folded
+records are dealt out by 64 bits of their hash; in each bucket a bounded open-addressing table (a Python
 dict: it probes by hash and then compares whole keys) gathers the classes, and a bucket beyond the memory bound
 is split by the next hash bits into spill files of the task, which are read back one by one, recursively. Spill
 files are the task's own scratch, gone when it ends; a task that runs again on another executor writes its own.
@@ -24,18 +25,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, batch_rows, pick, written
+from .common import LOWER, batch_rows, give_back, pick, text_slices, written
 
 #: Bytes of text that a table holds before it spills (or, in the scan, is sent on).
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 64 << 20
 FAN_BITS = 4
 #: Python's cost of one table entry besides the text.
 ENTRY = 300
 
 FOLDED = "h long, text binary, n long, best_doc long, best_row long, rep long, row_no long, doc_id long, sha binary"
-PLACED = "rep long, keep_id long, group_size long, best_row long, row_no long, doc_id long, sha binary"
+PLACED = "rep long, keep_id long, group_size long, best_row long"
 _FOLDED = pa.schema([("h", pa.int64()), ("text", pa.binary()), ("n", pa.int64()), ("best_doc", pa.int64()), ("best_row", pa.int64()), ("rep", pa.int64()), ("row_no", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.binary())])
-_PLACED = pa.schema([(n, pa.binary() if n == "sha" else pa.int64()) for n in ("rep", "keep_id", "group_size", "best_row", "row_no", "doc_id", "sha")])
+_PLACED = pa.schema([(n, pa.int64()) for n in ("rep", "keep_id", "group_size", "best_row")])
 
 
 def _later(a, b):
@@ -55,7 +56,7 @@ def fold(batches: Iterator[pa.RecordBatch], base: int, budget: int) -> Iterator[
             none = [None] * len(part)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([c[3] for _, c in part], [t for t, _ in part], [c[1] for _, c in part], [c[2][0] for _, c in part], [c[2][1] for _, c in part], [c[0] for _, c in part], none, none, none), _FOLDED, strict=True)], schema=_FOLDED)
 
-    for batch in batches:
+    for batch in (p for b in batches for p in text_slices(b, 1)):
         ids, texts = batch_rows(batch, "doc_id", "text")
         out = []
         for doc, text in zip(ids, texts, strict=True):
@@ -73,9 +74,7 @@ def fold(batches: Iterator[pa.RecordBatch], base: int, budget: int) -> Iterator[
             out.append((known[0], me[1], doc, sha))
         none = [None] * len(out)
         rep, row_no, doc_id, sha_ = zip(*out, strict=True) if out else ((), (), (), ())
-        # a member row is dealt by its own number, so that members of a large group go everywhere
-        spread = [(r * 0x9E3779B97F4A7C15 & (1 << 63) - 1) for r in row_no]
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((spread, none, none, none, none, rep, row_no, doc_id, sha_), _FOLDED, strict=True)], schema=_FOLDED)
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((none, none, none, none, none, rep, row_no, doc_id, sha_), _FOLDED, strict=True)], schema=_FOLDED)
         if size > budget:
             yield from send()
             held, size = {}, 0
@@ -134,6 +133,7 @@ def _spilled(name: str) -> Iterator[tuple]:
 def _scan(budget: int):
     def run(batches):
         yield from fold(batches, TaskContext.get().partitionId() << 36, budget)
+        give_back()
 
     return run
 
@@ -142,43 +142,32 @@ def _buckets(budget: int):
     def run(batches):
         def records():
             for batch in batches:
-                waiting.append(batch.filter(batch.column(1).is_null()).select(["rep", "row_no", "doc_id", "sha"]))
-                own = batch.filter(batch.column(1).is_valid())
-                for h, text, n, doc, row, rep in zip(*batch_rows(own, "h", "text", "n", "best_doc", "best_row", "rep"), strict=True):
-                    yield h, text, n, doc, row, (rep,)
-
-        def members():
-            while waiting:
-                b = waiting.pop()
-                if b.num_rows:
-                    none = pa.nulls(b.num_rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([b.column(0), none, none, none, b.column(1), b.column(2), b.column(3)], schema=_PLACED)
-
-        waiting: list = []
+                for part in text_slices(batch, 1):
+                    for h, text, n, doc, row, rep in zip(*batch_rows(part, "h", "text", "n", "best_doc", "best_row", "rep"), strict=True):
+                        yield h, text, n, doc, row, (rep,)
+
         out: list[tuple] = []
         for got in grace(records(), budget):
             out.append(got)
             if len(out) >= 5000:
-                yield from members()
                 yield _classes(out)
                 out = []
-        yield from members()
         if out:
             yield _classes(out)
+        give_back()
 
     return run
 
 
 def _classes(out: list[tuple]) -> pa.RecordBatch:
-    none = [None] * len(out)
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((*zip(*out, strict=True), none, none, none), _PLACED, strict=True)], schema=_PLACED)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _PLACED, strict=True)], schema=_PLACED)
 
 
 def exact_dedup(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
     spread = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    folded = spread.mapInArrow(_scan(table_bytes), FOLDED)
-    placed = written(folded.repartition("h").mapInArrow(_buckets(table_bytes), PLACED), "grace")
-    classes = placed.where("row_no is null").select("rep", "keep_id", "group_size", "best_row")
-    members = placed.where("row_no is not null").select("rep", "row_no", "doc_id", "sha")
+    folded = written(spread.mapInArrow(_scan(table_bytes), FOLDED), "folded")
+    records = folded.where("row_no is null").select("h", "text", "n", "best_doc", "best_row", "rep")
+    classes = records.repartition("h").mapInArrow(_buckets(table_bytes), PLACED)
+    members = folded.where("row_no is not null").select("rep", "row_no", "doc_id", "sha")
     return members.join(classes, "rep").select("doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("best_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
