@@ -1,8 +1,8 @@
 """Quality rules by line-first cleaning, in DataFrame functions only.
 
 Each line with a word is judged by three rules: punctuation (marks that outweigh its words), navigation (short
-entries between separators) and boilerplate (fixed phrases of licences, notices and page furniture). Failing
-lines are removed; a document that loses too much of its text with them is rejected, as is one that fails the
+entries between separators) and boilerplate (fixed phrases of licences, notices and page furniture, one for each
+NOTICE_CHARS characters of the line, so that long prose may mention one). Failing lines are removed; a document that loses too much of its text with them is rejected, as is one that fails the
 base rules (too few words, or too many of them in windows of words that repeat). Everything is computed within
 the document's row: no shuffle, and memory in proportion to the longest text.
 
@@ -25,7 +25,7 @@ MARKS = r"[#*$%&|<>!?]"
 SEPARATORS = r"[|>»·•]"
 #: Fixed phrases, lower case.
 BOILERPLATE = ("licensed under", "all rights reserved", "copyright", "terms of use", "terms of service", "privacy policy", "cookie", "click here", "subscribe", "sign up", "log in", "login", "lorem ipsum", "enable javascript", "skip to content", "skip to main content", "powered by")
-#: A line longer than this is prose that may mention them.
+#: A line has one of them for so many characters, begun ones too, or is prose that mentions them.
 NOTICE_CHARS = 300
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -56,9 +56,12 @@ def line_fails(line: Column) -> Column:
     marks, separators = _hits(line, MARKS), _hits(line, SEPARATORS)
     punctuation = (marks >= MIN_MARKS) & (marks * 100 > words * MARK_PERCENT)
     navigation = (separators >= MIN_SEPARATORS) & (words <= (separators + 1) * ENTRY_WORDS)
-    # one array element, so that the line is lower-cased once and not once a phrase
-    boilerplate = F.exists(F.array(F.lower(line)), lambda low: reduce(operator.or_, [low.contains(p) for p in BOILERPLATE]))
-    return punctuation | navigation | ((F.length(line) <= NOTICE_CHARS) & boilerplate)
+    need = F.ceil(F.length(line) / NOTICE_CHARS)
+    # one array element, so that the line is lower-cased once and not once a phrase; phrases are counted only where one is not enough
+    some = lambda low: reduce(operator.or_, [low.contains(p) for p in BOILERPLATE])
+    count = lambda low: reduce(operator.add, [low.contains(p).cast("int") for p in BOILERPLATE])
+    boilerplate = F.exists(F.array(F.lower(line)), lambda low: some(low) & ((need <= 1) | (count(low) >= need)))
+    return punctuation | navigation | boilerplate
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -108,7 +111,7 @@ lw AS (SELECT r, line, len(list_filter(string_split_regex(line, '{SPACE}+'), lam
               len(regexp_extract_all(line, '{MARKS}')) AS marks, len(regexp_extract_all(line, '{SEPARATORS}')) AS seps,
               length(regexp_replace(line, '{SPACE}', '', 'g')) AS chars FROM l),
 lf AS (SELECT *, (marks >= {MIN_MARKS} AND marks * 100 > n * {MARK_PERCENT}) OR (seps >= {MIN_SEPARATORS} AND n <= (seps + 1) * {ENTRY_WORDS})
-              OR (length(line) <= {NOTICE_CHARS} AND ({' OR '.join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)})) AS fails FROM lw WHERE n > 0),
+              OR ({' OR '.join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)}) AND ({' + '.join(f"contains(lower(line), '{p}')::INT" for p in BOILERPLATE)}) * {NOTICE_CHARS} >= length(line) AS fails FROM lw WHERE n > 0),
 lines AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (fails) AS n_failed_lines,
                  coalesce(sum(chars) FILTER (fails), 0)::BIGINT AS lost_chars FROM lf GROUP BY r),
 a AS (SELECT r, list_filter(string_split_regex(text, '{SPACE}+'), lambda x: x <> '') AS w FROM d),
