@@ -74,7 +74,7 @@ def op7_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(ship(spark), sf_dir, "documents"), width=4, percent=80)
+    return near_dedup(table(ship(spark), sf_dir, "documents"), width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
