@@ -3,23 +3,35 @@
 from __future__ import annotations
 
 import numpy as np
-from numpy.lib.stride_tricks import as_strided
+from numpy.lib.stride_tricks import as_strided, sliding_window_view
 
 DIM = 8
 WIDTHS = (2, 3, 5)
 FILTERS = 16
 
 
-def cut_windows(data: bytes, length: int, step: int) -> np.ndarray:
-    """Windows of `length` bytes every `step` bytes that cover all of data; the last one ends where data ends, and data shorter than a window is padded with zeros."""
-    n = len(data)
+def _starts(n: int, length: int, step: int) -> np.ndarray:
+    return np.append(np.arange(0, n - length, step), n - length) if n > length else np.zeros(1, np.int64)
+
+
+def _cut(data: bytes, length: int, starts: np.ndarray) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
-    if n <= length:
+    if len(raw) <= length:
         out = np.zeros((1, length), np.uint8)
-        out[0, :n] = raw
+        out[0, : len(raw)] = raw
         return out
-    starts = np.append(np.arange(0, n - length, step), n - length)
-    return raw[starts[:, None] + np.arange(length)]
+    return sliding_window_view(raw, length)[starts]
+
+
+def cut_windows(data: bytes, length: int, step: int) -> np.ndarray:
+    """Windows of `length` bytes every `step` bytes that cover all of data; the last one ends where data ends, and data shorter than a window is padded with zeros."""
+    return _cut(data, length, _starts(len(data), length, step))
+
+
+def some_windows(data: bytes, length: int, step: int, most: int, seed: int) -> np.ndarray:
+    """At most `most` of these windows, chosen at random by `seed`."""
+    starts = _starts(len(data), length, step)
+    return _cut(data, length, starts[np.random.default_rng(seed & (1 << 63) - 1).permutation(len(starts))[:most]])
 
 
 class ByteCNN:

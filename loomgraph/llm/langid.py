@@ -10,23 +10,20 @@ null doc_id stays null; repeated rows are predicted each; an empty table gives n
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .byte_cnn import ByteCNN, cut_windows
-from .common import pick, remainder
+from .byte_cnn import ByteCNN, cut_windows, some_windows
+from .common import give_back, pick, remainder, sampled, text_slices, written
 
 LENGTH = 160
 STEP = 160
 #: Documents of a language, windows of a document, and languages in the fit at most.
 SAMPLE, WINDOWS, LANGUAGES = 500, 4, 200
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 class Model:
     def __init__(self, langs: list[str], net: ByteCNN | None):
@@ -36,7 +33,7 @@ class Model:
         lang, sure = ["und"] * len(texts), [0.0] * len(texts)
         if not self.langs:
             return lang, sure
-        own = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        own = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         cuts = [cut_windows(texts[i].lower().encode("utf-8", "replace"), LENGTH, STEP) for i in own]
         if not own:
             return lang, sure
@@ -55,19 +52,18 @@ class Model:
         return out / out.sum(1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
-    """A model from (text, language) rows."""
+def _train_windows(text: bytes, key: int | None) -> bytes:
+    data = text.decode("utf-8", "replace").lower().encode("utf-8")
+    return some_windows(data, LENGTH, LENGTH, WINDOWS, key or 0).tobytes()
+
+
+def train(rows: list[tuple[bytes, str]]) -> Model:
+    """A model from rows of windows (LENGTH bytes each, one after the other) and their language."""
     langs = sorted({lang for _, lang in rows})
-    rng = np.random.default_rng(seed)
-    windows, target = [], []
-    for text, lang in rows:
-        cut = cut_windows(text.lower().encode("utf-8", "replace"), LENGTH, LENGTH)
-        some = rng.permutation(len(cut))[:WINDOWS]
-        windows.append(cut[some])
-        target += [langs.index(lang)] * len(some)
     if len(langs) < 2:
         return Model(langs, None)
-    target = np.array(target)
+    windows = [np.frombuffer(w, np.uint8).reshape(-1, LENGTH) for w, _ in rows]
+    target = np.repeat([langs.index(lang) for _, lang in rows], [len(w) for w in windows])
     share = np.bincount(target, minlength=len(langs))
     weight = (len(target) / len(langs) / share)[target]
     net = ByteCNN(len(langs)).fit(np.concatenate(windows), target, weight, epochs=3 if len(target) > 2000 else 12)
@@ -77,11 +73,17 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, fold: int = 4, held: int = 2) -> Model:
     """Learn from the rows of docs(doc_id, text, lang) with a language whose crc32 remainder by `fold` is not `held`."""
     own = pick(docs, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long")).where(remainder(F.col("doc_id"), fold) != held)
-    # ids alone are ranked: each task keeps its first `sample` of a language before the shuffle
+    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return Model([], None)
+    # a hash below a language's limit leaves some three times the sample, whatever the language's size, to be ranked
+    limit = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, 3 * (sample + 20) / r["count"])))])
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    few = own.select("doc_id", "lang").where(place < F.coalesce(F.try_element_at(limit, F.col("lang")), F.lit(0.0))).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = own.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample).orderBy("rank", "lang").limit(sample * LANGUAGES).select("doc_id")
-    rows = own.join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "text", "lang").collect()
-    return train([(r.text, r.lang) for r in sorted(rows)])
+    chosen = written(few.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang"), "sample")
+    rows = sampled(own, chosen, _train_windows, T.BinaryType(), "lang")
+    return train([(bytes(r.x), r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang))])
 
 
 def _scan(model: Model):
@@ -89,10 +91,10 @@ def _scan(model: Model):
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in text_slices(batch, 1):
                 lang, sure = model.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(sure, pa.float64())], schema=schema)
+        give_back()
 
     return run
 

@@ -1,9 +1,11 @@
 """Quality by a byte-level convolutional network over whole documents.
 
 Chunks of LENGTH bytes that overlap by LENGTH - STEP cover the whole text. Each goes through learned filters of
-several widths and max pooling to a log odds; mean, least, greatest and spread of the chunks' log odds, and of the
-pooled filters their mean, are combined by a logistic regression into the document's probability. Both are trained
-on the driver in numpy from at most SAMPLE labelled rows of a class (by a hash of doc_id).
+several widths and max pooling to a log odds; the chunks' mean, least and greatest log odds, the share of them above
+zero and their number are combined by a logistic regression into the document's probability. The network is trained
+on the driver in numpy from CHUNKS random chunks each, which the executors cut, of two thirds of at most SAMPLE
+labelled rows of a class (by a hash of doc_id); the other third, which the network hasn't seen, calibrates the
+combination, by five numbers a document that the executors make of its whole text. The driver gets these only (5 MB).
 
 Defined results: null and empty texts hold nothing of quality and score 0; a null doc_id stays null; repeated rows
 are scored each; without labels of both classes the score is 0.5 or near the one class.
@@ -15,14 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .byte_cnn import ByteCNN, cut_windows
-from .common import logistic_fit, pick, remainder
+from .byte_cnn import ByteCNN, cut_windows, some_windows
+from .common import give_back, labelled, logistic_fit, pick, sampled, text_slices
 
 LENGTH, STEP = 256, 224
 SAMPLE = 1500
-#: Random chunks of a document that the network is trained on at most; the combination is fitted on whole texts.
+#: Random chunks of a document that the network is trained on at most.
 CHUNKS = 6
+FEATURES = 5
 
 
 class Model:
@@ -49,40 +53,32 @@ class Model:
         return np.where([bool(t) for t in texts], 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30))), 0.0)
 
 
-def train(rows: list[tuple[bytes, int]], odds: float = 1.0, seed: int = 5) -> Model:
-    """A model from (text, 0 or 1) rows; odds: of label 1 in the data over those in rows."""
-    classes = sorted({y for _, y in rows})
-    if len(classes) < 2:
-        return Model(None, np.array([0.98 if classes[0] else 0.02]) if classes else None)
-    rng = np.random.default_rng(seed)
-    windows, target = [], []
-    for text, y in rows:
-        cut = cut_windows(text, LENGTH, STEP)
-        some = rng.permutation(len(cut))[:CHUNKS]
-        windows.append(cut[some])
-        target += [y] * len(some)
-    target = np.array(target)
+def _train_chunks(text: bytes, key: int | None) -> bytes:
+    return some_windows(text, LENGTH, STEP, CHUNKS, key or 0).tobytes()
+
+
+def train(rows: list[tuple[bytes, bool]]) -> ByteCNN:
+    """A network from rows of chunks (LENGTH bytes each, one after the other) and their label, of both classes."""
+    windows = [np.frombuffer(w, np.uint8).reshape(-1, LENGTH) for w, _ in rows]
+    target = np.repeat([int(y) for _, y in rows], [len(w) for w in windows])
     weight = (len(target) / 2 / np.bincount(target, minlength=2))[target]
-    net = ByteCNN(2, widths=(3, 5, 8)).fit(np.concatenate(windows), target, weight, epochs=4 if len(target) > 3000 else 15)
-    model = Model(net, None)
-    x = np.concatenate([model.features([t for t, _ in rows[at : at + 200]]) for at in range(0, len(rows), 200)])
-    model.weights = logistic_fit(x, np.array([float(y) for _, y in rows]))
-    model.weights[-1] += np.log(odds)
-    return model
+    return ByteCNN(2, widths=(3, 5, 8)).fit(np.concatenate(windows), target, weight, epochs=4 if len(target) > 3000 else 15)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int = 4, held: int = 2) -> Model:
     """Learn from the rows of labels(doc_id, quality) whose crc32 remainder by `fold` is not `held`."""
-    known = pick(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") != 0).cast("int").alias("quality"))
-    known = known.where(remainder(F.col("doc_id"), fold) != held).distinct()
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    some = known.where("quality = 1").orderBy(*order).limit(sample).unionByName(known.where("quality = 0").orderBy(*order).limit(sample))
-    counts = dict(known.groupBy("quality").count().collect())
-    text = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    rows = sorted((r.doc_id, bytes(r.text), r.quality) for r in text.join(F.broadcast(some), "doc_id").collect())
-    ones = sum(y for *_, y in rows)
-    odds = counts[1] / counts[0] * (len(rows) - ones) / ones if 0 < ones < len(rows) else 1.0
-    return train([(t, y) for _, t, y in rows], odds)
+    some, counts = labelled(labels, "quality", sample, fold, held)
+    rows = [(bytes(r.x), r.y) for r in sampled(docs, some.where("not check"), _train_chunks, T.BinaryType(), "y")]
+    seen = {y for _, y in rows}
+    if len(seen) < 2:
+        return Model(None, np.array([0.98 if True in seen else 0.02]) if seen else None)
+    model = Model(train(rows), None)
+    check = sampled(docs, some.where("check"), lambda t, k: model.features([t])[0].tolist(), T.ArrayType(T.DoubleType()), "y")
+    model.weights = logistic_fit(np.array([r.x for r in check]).reshape(-1, FEATURES), np.array([float(r.y) for r in check]))
+    ones = sum(r.y for r in check)
+    if 0 < ones < len(check):  # the classes are sampled alike; set the odds back to those of the labels
+        model.weights[-1] += np.log(counts[True] / counts[False]) - np.log(ones / (len(check) - ones))
+    return model
 
 
 def _scan(model: Model):
@@ -90,9 +86,9 @@ def _scan(model: Model):
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in text_slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(part.column(1).to_pylist()), pa.float64())], schema=schema)
+        give_back()
 
     return run
 
