@@ -6,10 +6,13 @@ the log ratio of document frequencies), and both end with the same carrier bytes
 spaces, followed by the carrier, so that even a short word is measured in compressed form. A window's two compressed
 lengths give its saving under the toxic dictionary and how wholly that dictionary covers it; a document's windows
 are counted against a grid of thresholds of both, and a logistic regression, fitted on labelled documents that the
-dictionaries have not seen, calibrates the counts to a probability. Only the text is used for a score.
+dictionaries have not seen, calibrates the counts to a probability. Only the text is used for a score. (Dictionaries
+that the trainer makes of whole toxic texts, with windows of several words, were tried and miss too much: README.)
 
-The fit takes at most SAMPLE labelled rows of a class, the same ones at any size of cluster (by a hash of doc_id);
-scoring covers every window of every text, in one pass without a shuffle.
+The fit takes at most SAMPLE labelled rows of a class, the same ones at any size of cluster (by a hash of doc_id). The
+dictionaries are made from an excerpt of each, up to EXCERPTS stretches of EXCERPT bytes spread over its text, and
+the calibration from 41 numbers that the executors make of its whole text: the driver gets these only (30 MB).
+Scoring covers every window of every text, in one pass without a shuffle.
 
 Defined results: null, empty and blank texts have no windows and get the calibrated score of no evidence; a null
 doc_id stays null; repeated rows are scored each; without labels of both classes the score is 0.5 or the one class.
@@ -26,8 +29,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, logistic_fit, pick, remainder
+from .common import LOWER, give_back, labelled, logistic_fit, pick, sampled, text_slices
 
 #: Labelled rows of each class that the fit uses at most.
 SAMPLE = 2000
@@ -36,7 +40,11 @@ SHARED_BYTES, MARK_BYTES = 16_000, 12_000
 #: Both dictionaries' last bytes; no text has them, being invalid UTF-8 in this order.
 CARRIER = bytes((37 * i * i + 101 * i) % 128 | 128 for i in range(48))
 GAINS, COVERS = 8, 8
-WORD_CACHE = 300_000
+FEATURES = 41
+#: Stretches of a document that the dictionaries are made from at most, and their bytes.
+EXCERPTS, EXCERPT = 8, 1024
+#: Words whose cell a task keeps: some 10 MB.
+WORD_CACHE = 60_000
 LONG = 48
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -85,6 +93,11 @@ class Model:
         self.toxic, self.ordinary, self.weights = toxic, ordinary, weights
         self._codes: _Codes | None = None
 
+    def forget(self) -> None:
+        """Drop what a task kept."""
+        self._codes = None
+        give_back()
+
     def __getstate__(self):
         return self.toxic, self.ordinary, self.weights
 
@@ -101,7 +114,7 @@ class Model:
         return np.concatenate([np.log1p(over), over / max(1, len(words)) * 100, [np.log1p(len(words)) / 5]])
 
     def score(self, texts: Iterable[bytes | None]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts]).reshape(-1, 41)
+        x = np.array([self.features(t) for t in texts]).reshape(-1, FEATURES)
         if self.weights is None:
             return np.full(len(x), 0.5)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
@@ -113,42 +126,50 @@ def _marks(of: Counter, n: int, against: Counter, m: int, least: int, ratio: flo
     return sorted(found, key=lambda w: (of[w], w))
 
 
-def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
-    """A model from labelled texts: two thirds make the dictionaries, the rest calibrates."""
-    parts = [([t for i, t in enumerate(x) if i % 3], [t for i, t in enumerate(x) if i % 3 == 0]) for x in (toxic, ordinary)]
-    (make_t, check_t), (make_o, check_o) = parts
+def excerpt(text: bytes, key: int | None = None) -> bytes:
+    """A text of up to EXCERPTS * EXCERPT bytes as it is, of a longer one as many stretches at even distances, at spaces."""
+    if len(text) <= EXCERPTS * EXCERPT:
+        return text
+    parts = []
+    for i in range(EXCERPTS):
+        at = i * (len(text) - EXCERPT) // (EXCERPTS - 1)
+        parts.append(b" ".join(text[at : at + EXCERPT].split(b" ")[(i > 0) : (None if i == EXCERPTS - 1 else -1)]))
+    return b"\n".join(parts)
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
+    """A model without weights from excerpts of both classes."""
     in_t, in_o = Counter(), Counter()
-    for t in make_t:
+    for t in toxic:
         in_t.update(set(windows(t)))
-    for t in make_o:
+    for t in ordinary:
         in_o.update(set(windows(t)))
-    least = int(min(8, max(2, len(make_t) / 125)))
-    mark_t = b"".join(b" " + w + b" " for w in _marks(in_t, len(make_t), in_o, len(make_o), least, 2.5))[-MARK_BYTES:]
-    mark_o = b"".join(b" " + w + b" " for w in _marks(in_o, len(make_o), in_t, len(make_t), least, 0.2))[-max(1, len(mark_t)) :]
-    samples = [t.translate(LOWER) for t in make_o if t]
+    least = int(min(8, max(2, len(toxic) / 125)))
+    mark_t = b"".join(b" " + w + b" " for w in _marks(in_t, len(toxic), in_o, len(ordinary), least, 2.5))[-MARK_BYTES:]
+    mark_o = b"".join(b" " + w + b" " for w in _marks(in_o, len(ordinary), in_t, len(toxic), least, 0.2))[-max(1, len(mark_t)) :]
+    samples = [t.translate(LOWER) for t in ordinary if t]
     shared = b""
     if sum(map(len, samples)) > 10 * SHARED_BYTES and len(samples) > 20:
         shared = zstandard.train_dictionary(SHARED_BYTES, samples).as_bytes()[-SHARED_BYTES:]
-    model = Model(shared + mark_t + CARRIER, shared + mark_o + CARRIER, None)
-    x = np.array([model.features(t) for t in check_t + check_o]).reshape(-1, 41)
-    model.weights = logistic_fit(x, np.array([1.0] * len(check_t) + [0.0] * len(check_o)), l2=0.05)
-    # the two classes are sampled alike here; fit() sets the odds back to those of the labels
+    return Model(shared + mark_t + CARRIER, shared + mark_o + CARRIER, None)
+
+
+def calibrated(model: Model, features: list, toxic: list[bool]) -> Model:
+    """The model with weights for the threshold counts."""
+    model.weights = logistic_fit(np.array(features).reshape(-1, FEATURES), np.array(toxic, float), l2=0.05)
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int = 5, held: int = 0) -> Model:
-    """Learn from the rows of labels(doc_id, toxic) whose crc32 remainder by `fold` is not `held`."""
-    known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).alias("toxic"))
-    known = known.where(remainder(F.col("doc_id"), fold) != held).distinct()
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    some = known.where("toxic").orderBy(*order).limit(sample).unionByName(known.where("not toxic").orderBy(*order).limit(sample))
-    counts = dict(known.groupBy("toxic").count().collect())
-    text = pick(docs, "doc_id", "text").where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = sorted((r.doc_id, r.toxic, bytes(r.text)) for r in text.join(F.broadcast(some), "doc_id").collect())
-    model = train([t for _, y, t in rows if y], [t for _, y, t in rows if not y])
-    used = Counter(y for _, y, _ in rows)
-    if used[True] and used[False]:
-        model.weights[-1] += np.log(counts[True] / counts[False]) - np.log(used[True] / used[False])
+    """Learn from the rows of labels(doc_id, toxic) whose crc32 remainder by `fold` is not `held`: two thirds make the dictionaries, the rest calibrates."""
+    some, counts = labelled(labels, "toxic", sample, fold, held)
+    rows = [(r.y, bytes(r.x)) for r in sampled(docs, some.where("not check"), excerpt, T.BinaryType(), "y")]
+    model = dictionaries([t for y, t in rows if y], [t for y, t in rows if not y])
+    check = sampled(docs, some.where("check"), lambda t, k: model.features(t).tolist(), T.ArrayType(T.DoubleType()), "y")
+    calibrated(model, [r.x for r in check], [r.y for r in check])
+    ones = sum(r.y for r in check)
+    if 0 < ones < len(check):  # the classes are sampled alike; set the odds back to those of the labels
+        model.weights[-1] += np.log(counts[True] / counts[False]) - np.log(ones / (len(check) - ones))
     return model
 
 
@@ -157,9 +178,9 @@ def _scan(model: Model):
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in text_slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(part.column(1).to_pylist()), pa.float64())], schema=schema)
+        model.forget()
 
     return run
 
@@ -168,3 +189,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row of docs(doc_id, text)."""
     spread = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return spread.mapInArrow(_scan(model), "doc_id long, score double")
+
+
+def drop(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below `at`: each row by its own text, in one pass."""
+    names = docs.columns
+    place = names.index("text") if "text" in names else [c.lower() for c in names].index("text")
+    flat = docs.toDF(*[f"c{i}__" for i in range(len(names))])
+    flat = flat.select("*", F.col(f"c{place}__").cast("binary").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, batch.num_columns - 1):
+                keep = pa.array(model.score(part.column(part.num_columns - 1).to_pylist()) < at)
+                yield part.filter(keep).drop_columns(["text"])
+        model.forget()
+
+    kept = flat.drop("text").schema
+    return flat.mapInArrow(run, kept).toDF(*names)
