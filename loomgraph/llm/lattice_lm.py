@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, batch_rows, pick, remainder, written
+from .common import LOWER, batch_rows, give_back, pick, remainder, text_slices, written
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
@@ -216,8 +216,8 @@ def _blocks(block_bytes: int):
         block = TaskContext.get().partitionId() << 24
         known: dict[bytes, int] = {}
         train, docs, size = [], [], 0
-        for batch in batches:
-            for doc, text, rest in zip(*batch_rows(batch, "doc_id", "text", "rest"), strict=True):
+        for part in (p for batch in batches for p in text_slices(batch, 1)):
+            for doc, text, rest in zip(*batch_rows(part, "doc_id", "text", "rest"), strict=True):
                 ids = np.array([known.setdefault(w, len(known)) for w in _WORDS.findall((text or b"").translate(LOWER))], "<u4")
                 train += [0] * (len(known) - len(train))
                 if rest:  # learnt from
@@ -230,6 +230,8 @@ def _blocks(block_bytes: int):
                     block, known, train, docs, size = block + 1, {}, [], [], 0
         if docs:
             yield from send(block, known, train, docs)
+        known, train, docs = {}, [], []
+        give_back()
 
     return run
 

@@ -29,15 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, pick, small_side, written
+from .common import give_back, pick, small_side, text_slices, written
 
 CAPACITY = 1024
 END_ID = 2
 #: A bin with at most this much room is nearly full.
 SLACK = 8
 #: Pieces that a scan task packs at a time.
-BLOCK = 400_000
-CACHE = 400_000
+BLOCK = 200_000
+#: Words, of less than 64 characters, whose ids a task keeps: some 25 MB.
+CACHE = 100_000
 PROBE = "It's 1,234 tests\tofé über naïve 中文 text… \n\n done <|endoftext|> x  y"
 
 _JOINED = re.compile(r"\s \s|  ")
@@ -193,14 +194,18 @@ def _scan(capacity: int, slack: int, paths: tuple):
         ranks = [0] * (capacity + 1)
         encode, end = encoder(*paths), Encoder._bytes([END_ID])
         for batch in batches:
-            for doc, text in zip(*batch_rows(batch, "doc_id", "text"), strict=True):
-                pieces += [(doc, *p) for p in cut(encode(text or "") + end, capacity)]
-                if len(pieces) >= BLOCK:
-                    yield from rows(pieces, grp, first, ranks)
-                    first += len(pieces)
-                    pieces = []
+            for part in text_slices(batch, 1):
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    pieces += [(doc, *p) for p in cut(encode(text or "") + end, capacity)]
+                    if len(pieces) >= BLOCK:
+                        yield from rows(pieces, grp, first, ranks)
+                        first += len(pieces)
+                        pieces = []
         if pieces:
             yield from rows(pieces, grp, first, ranks)
+            pieces = []
+        encode.known.clear()
+        give_back()
 
     return run
 

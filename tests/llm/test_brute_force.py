@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import lattice_lm, mixing, packing, queries, toxicity
 from loomgraph.llm.byte_cnn import ByteCNN, cut_windows
+from loomgraph.llm.common import text_key
 from loomgraph.llm.components import components
 from loomgraph.llm.grace_dedup import exact_dedup, grace
 from loomgraph.llm.line_dedup import line_dedup
@@ -100,8 +101,8 @@ def test_near_copies_in_one_bucket(spark):
     assert {out[i] for i in range(120)} == {0} and all(out[1000 + i] == 1000 + i for i in range(20))
 
 
-@pytest.mark.parametrize("one_task", [0, 1000])
-def test_components(spark, one_task):
+@pytest.mark.parametrize("chunk", [3, 1000])
+def test_components(spark, chunk):
     rnd = random.Random(1)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
     root = {x: x for e in edges for x in e}
@@ -114,7 +115,7 @@ def test_components(spark, one_task):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         root[y] = x
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), chunk).collect()}
     assert got == {x: find(x) for x in root}
 
 
@@ -263,21 +264,74 @@ def test_lattice_learns_from_long_words(spark):
 
 
 def test_line_dedup(spark):
+    """Against the definition: of two equal spans of 25 words, the later one goes, if a passage of 50 words holds them; and only such lines go."""
     rnd = random.Random(4)
-    passages = [[" ".join(f"p{k}_{i}_{j}" for j in range(rnd.randint(5, 30))) for i in range(rnd.randint(2, 6))] for k in range(6)]
-    passages = [p for p in passages if sum(len(x.split()) for x in p) >= 50]
+    passages = [[" ".join(f"p{k}_{i}_{j}" for j in range(rnd.randint(3, 30))) for i in range(rnd.randint(2, 9))] for k in range(8)]
     rows = []
-    for d in range(60):
-        lines = [f"own {d} {i} " + " ".join("abc"[rnd.randrange(3)] for _ in range(8)) for i in range(rnd.randint(1, 6))] + ["a common line"]
-        at = rnd.randint(0, len(lines))
-        rows.append((d, "\n".join(lines[:at] + passages[d % len(passages)] + lines[at:])))
-    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for d, text in rows:
-        own = passages[d % len(passages)]
-        want = text.split("\n") if d < len(passages) else [x for x in text.split("\n") if x not in own]
-        # the common line goes with a passage that it adjoins in both places, and stays elsewhere
-        assert [x for x in got[d].split("\n") if x != "a common line"] == [x for x in want if x != "a common line"]
-    assert sum("a common line" in x for x in got.values()) > 20
+    for d in range(80):
+        lines = []
+        for _ in range(rnd.randint(1, 4)):
+            p = passages[rnd.randrange(8)]
+            a = rnd.randrange(len(p))
+            lines += rnd.choice([p, p[a:], p[: a + 1], p[a : a + 2]])
+            lines += rnd.choice([[], ["", " "], [f"own {d} " + " ".join("abcdef"[rnd.randrange(6)] for _ in range(rnd.randint(1, 30)))]])
+        rows.append((d // 2 if d % 20 == 1 else d, "\n".join(lines)))  # some doc_ids have two texts
+    got = [(r.doc_id, r.before, r.text, r.n_removed) for r in line_dedup(spark.createDataFrame([(*r, r[1]) for r in rows], "doc_id long, text string, before string").repartition(3)).collect()]
+    assert sorted((d, b) for d, b, *_ in got) == sorted(rows)
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", text_key(F.col("t")).alias("h")).collect()}
+    order = sorted({(d, hashes[t]): t for d, t in rows}.items())
+    lines = [[x for x in t.split("\n") if words(x)] for _, t in order]
+    n = [[len(words(x)) for x in own] for own in lines]
+
+    def runs(least):
+        """Of each document the lines of spans of `least` words that an earlier place has too."""
+        seen, out = {}, []
+        for d, own in enumerate(lines):
+            gone = set()
+            for a in range(len(own)):
+                for b in range(a, len(own)):
+                    if sum(n[d][a : b + 1]) >= least and seen.setdefault(tuple(own[a : b + 1]), (d, a)) != (d, a):
+                        gone |= set(range(a, b + 1))
+            out.append(gone)
+        return out
+
+    after = {(d, hashes[b]): (t, k) for d, b, t, k in got}
+    must, may = runs(50), runs(25)
+    some = 0
+    for d, (key, _) in enumerate(order):
+        left = [x for x in after[key][0].split("\n") if words(x)]
+        at, gone = 0, set()
+        for i, x in enumerate(lines[d]):  # the lines that stay, in order; of equal neighbours the first ones
+            if at < len(left) and left[at] == x and i not in must[d]:
+                at += 1
+            else:
+                gone.add(i)
+        assert at == len(left) and must[d] <= gone <= may[d], (key, must[d], gone, may[d])
+        some += len(gone)
+    assert some > 100
+    # nothing is lost from the corpus
+    assert {x for own in lines for x in own} == {x for _, _, t, _ in got for x in t.split("\n") if words(x)}
+
+
+def test_line_dedup_with_a_part_elsewhere(spark):
+    """A passage goes wholly from its second place, though an earlier document has only the middle of it."""
+    for seed in range(4):
+        own = [" ".join(f"w{seed}_{i}_{j}" for j in range(13)) for i in range(4)]
+        fill = [[f"f{seed} {d} " + " ".join(f"x{d}_{j}" for j in range(9)) for _ in range(2)] for d in range(3)]
+        rows = [(1, "\n".join([fill[0][0], *own[1:3], fill[0][1]])), (2, "\n".join([fill[1][0], *own, fill[1][1]])), (3, "\n".join([fill[2][0], *own, fill[2][1]]))]
+        got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[3] == "\n".join(fill[2]) and got[1] == rows[0][1]
+        assert set(own[::3]) <= set(got[2].split("\n"))
+
+
+def test_line_dedup_by_row(spark):
+    """Rows of one doc_id with different texts are edited each by its own."""
+    passage = "\n".join(" ".join(f"p{i}_{j}" for j in range(20)) for i in range(4))
+    rows = [(1, "top\n" + passage), (2, "head\n" + passage), (2, "head\n" + passage.replace("p", "q")), (3, "line\n" * 100_000), (4, None), (5, "")]
+    got = sorted((r.doc_id, r.text or "") for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[:3] == [(1, rows[0][1]), (2, "head"), (2, rows[2][1])]
+    # of a line that repeats without end, what is no later repeat of 25 words stays
+    assert len(got[3][1].split("\n")) < 30
 
 
 def test_mixing(docs, texts):
@@ -298,7 +352,7 @@ def test_mixing(docs, texts):
     longest = max(len(words(t)) for t in texts.values())
     for s in n:
         aim = budget * n[s] ** alpha / z
-        assert aim - longest - n[s] * 2e-3 <= took[s] <= aim * (1 + 2e-3) + 1
+        assert aim - longest - 1 <= took[s] <= min(aim, 1.5 * n[s]) + 1e-3
     half = mixing.mix(docs, target_entropy=0.9, budget=sum(n.values()) / 2).collect()
     assert sum(r.n_tokens for r in half) <= sum(n.values()) / 2 + 1 and len({r.doc_id for r in half}) == len(half)
 
@@ -353,6 +407,8 @@ def test_toxic_windows_compress():
     rnd = random.Random(5)
     plain = [" ".join(rnd.choice(["ton", "re", "lin", "mar"]) + rnd.choice(["da", "ko", "su"]) for _ in range(60)) for _ in range(400)]
     bad = [t + " horrid vermin" + t[:20] for t in plain[:150]]
-    model = toxicity.train([t.encode() for t in bad], [t.encode() for t in plain[150:]])
+    model = toxicity.dictionaries([t.encode() for t in bad[:100]], [t.encode() for t in plain[150:300]])
+    rest = bad[100:] + plain[300:]
+    toxicity.calibrated(model, [model.features(t.encode()) for t in rest], [True] * 50 + [False] * 100)
     good, evil = model.score([b"tonda reko linsu marda reko"]), model.score([b"tonda reko horrid vermin marda reko"])
     assert evil[0] > 0.5 > good[0]
