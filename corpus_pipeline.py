@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import toxicity
-from loomgraph.llm.common import small_side, table, written
+from loomgraph.llm.common import small_side, table, text_key, written
 from loomgraph.llm.line_dedup import line_dedup
 from loomgraph.llm.minmax import near_dedup
 from loomgraph.llm.mixing import mix
@@ -21,39 +21,38 @@ TOXIC_AT = 0.5
 MAX_REPEATS = 1.5
 
 
-def _minus(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without those whose id is in gone(doc_id), a written table."""
-    gone = small_side(gone.select(F.col("doc_id").alias("gone_id")))
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression-distance classifier doesn't reject. Its model learns from the labelled rows of its input."""
+    """Rows that the compression-distance classifier doesn't reject, each judged by its own text; its model learns from the labelled rows of its input. Null and empty texts stay; an empty table gives an empty one; without labels of both classes nothing goes unless all are toxic."""
     ship(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold=5, held=0)
-    scores = toxicity.score(docs, model)
-    return _minus(docs, written(scores.where(F.col("score") >= TOXIC_AT).select("doc_id"), "toxic"))
+    return toxicity.drop(docs, model, TOXIC_AT)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, later repeated passages removed from its text; n_chars follows the text."""
+    """Every row, later repeated passages removed from its text; n_chars follows the text. Null texts and rows without a doc_id stay as they are; rows that repeat doc_id and text are edited alike."""
     out = line_dedup(docs).drop("n_lines", "n_removed")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: shingles of five words, similarity 0.8."""
-    groups = near_dedup(docs, width=5, percent=80)
-    return _minus(docs, written(groups.where("not kept").select("doc_id"), "copies"))
+    """One row of each group of near duplicates (shingles of five words, similarity 0.8): the smallest doc_id, of rows that share it the one with the least text key, of repeated rows one. Rows without words or without a doc_id stay."""
+    ship(spark)
+    rows = written(near_dedup(docs, width=5, percent=80).where("doc_id is not null and n_shingles > 0").groupBy("doc_id", "th").agg(F.max("first").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "copies")
+    key = (docs["doc_id"].cast("long") == F.col("of_id")) & (text_key(docs["text"]) == F.col("of_th"))
+    side = rows.select(F.col("doc_id").alias("of_id"), F.col("th").alias("of_th"), "stays")
+    rest = docs.join(small_side(side.drop("stays")), key, "left_anti")
+    # a row that stays but is repeated: one of the copies, which are alike in id and text
+    again = docs.join(small_side(written(side.where("stays").drop("stays"), "repeated")), key, "left_semi")
+    return rest.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once at least; those of small sources again, up to the mixture's weights."""
+    """Every row once at least; those of small sources again, up to the mixture's weights. A null source is one of its own; texts without tokens come once; an empty table gives an empty one."""
     return mix(docs, max_repeats=MAX_REPEATS).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 1024 tokens."""
+    """Pieces of documents in sequences of at most 1024 tokens; a null text is its end token; an empty table gives no piece."""
     return pack(docs)
 
 
