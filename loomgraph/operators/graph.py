@@ -18,6 +18,7 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int, visited: DataFrame | N
     frontier = written(seeds.select("node").distinct(), "frontier")
     seen = frontier if visited is None else frontier.unionByName(visited.select("node"))
     out = frontier.withColumn("depth", F.lit(0))
+    edges = written(edges.select("src", "dst").distinct(), "edges") if depth > 1 else edges
     for level in range(1, depth + 1):
         step = edges.join(frontier.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
         frontier = written(step.join(seen, "node", "left_anti"), "frontier")
@@ -89,3 +90,21 @@ def inherited(classes: DataFrame, parents: DataFrame, depth: int | None = None)
         seen = seen.unionByName(frontier)
         out = out.unionByName(frontier.withColumn("depth", F.lit(level)))
     return out
+
+
+def searched(classes: DataFrame, parents: DataFrame) -> DataFrame:
+    """(name, ancestor, trail) for classes(name) over parents(name, parent, at): the order in which a depth-first search meets each ancestor, as the places of the parents on the way; trails compare as arrays, the class's own is empty.
+
+    An ancestor that several ways lead to keeps the earliest one, so a later level may still improve it; what doesn't
+    improve goes no further, which also ends cycles.
+    """
+    best = written(classes.select("name", F.col("name").alias("ancestor")).distinct().withColumn("trail", F.array().cast("array<int>")), "trails")
+    frontier = best
+    up = written(parents.groupBy(F.col("name").alias("ancestor"), F.col("parent").alias("next")).agg(F.min(F.col("at").cast("int")).alias("at")), "parents")
+    while True:
+        step = frontier.join(up, "ancestor").groupBy("name", F.col("next").alias("ancestor")).agg(F.min(F.concat("trail", F.array("at"))).alias("trail"))
+        known = best.select("name", "ancestor", F.col("trail").alias("was"))
+        frontier = written(step.join(known, ["name", "ancestor"], "left").where("was is null or trail < was").drop("was"), "frontier")
+        if frontier.isEmpty():
+            return best
+        best = written(best.unionByName(frontier).groupBy("name", "ancestor").agg(F.min("trail").alias("trail")), "trails")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.languages import C_DEFINITION, CALLEE, CALLEE_IGNORED, DECLARATION, GENERIC_DEFINITION, NOT_A_NAME, by_name, definition_pattern, languages
+from ..functions.languages import C_DEFINITION, C_MACRO, C_MACRO_PREFIX, CALLEE, CALLEE_IGNORED, DECLARATION, GENERIC_DEFINITION, NOT_A_NAME, by_name, definition_pattern, languages
 from ..functions.stripping import strip_lines
 
 TOKEN = r"operator\s*[^\sA-Za-z0-9_(]+|[A-Za-z_$][A-Za-z0-9_$]*"
@@ -54,6 +55,11 @@ def definitions(lines: DataFrame) -> DataFrame:
             parts.append(F.when(F.col("lang") == x.name, got).otherwise(F.array().cast("array<string>")))
     signature = F.regexp_extract_all("clean", F.lit(definition_pattern(C_DEFINITION, by_name("c-family"))), F.lit(1))
     parts.append(F.when(F.col("lang").isin(*c_style) & ~strip(F.col("clean")).endswith(";"), signature).otherwise(F.array().cast("array<string>")))
+    # a macro may define what it is given, as TEST(Suite, name) { does; in the C family any word between its brackets
+    c_lang = F.col("lang").isin(*c_style) & ~strip(F.col("clean")).endswith(";")
+    given = F.regexp_extract_all(F.regexp_extract("clean", C_MACRO, 1), F.lit(r"[A-Za-z_]\w*"), F.lit(0))
+    after = F.regexp_extract_all("clean", F.lit(definition_pattern(C_MACRO_PREFIX, by_name("c-family"))), F.lit(1))
+    parts.append(F.when(c_lang & F.col("clean").rlike(C_MACRO), F.concat(given, after)).otherwise(F.array().cast("array<string>")))
     names = F.array_distinct(F.flatten(F.array(*parts)))
     return lines.where("lang <> 'unknown'").select(F.explode(names).alias("name"), "path", "file_ord", "lang", "line_no").where((F.col("name") != "") & ~F.col("name").isin(*NOT_A_NAME))
 
@@ -89,28 +95,72 @@ def shapes(lines: DataFrame) -> DataFrame:
     return lines.groupBy("path").agg(F.sort_array(F.collect_list(each)).alias("shape"), F.first(F.col("lang").isin(*flat)).alias("flat"))
 
 
+def _file_spans(decl, solid, text, indent_, opens, net, flat: bool) -> tuple[list[int], list[int]]:
+    """Of each line of a file the start and the end (half open from 0) of the block around it, from the lines' marks; the end is -1 where braces never close. One pass: an end is found once a start."""
+    n = len(decl)
+    starts, ends, known = [0] * n, [0] * n, {}
+    if flat:  # the next line that is indented no further, for every line, by a stack from below
+        after, stack = [n] * n, []
+        for i in range(n - 1, -1, -1):
+            while stack and indent_[stack[-1]] > indent_[i]:
+                stack.pop()
+            after[i] = stack[-1] if stack else n
+            if solid[i]:
+                stack.append(i)
+    else:  # the depth before each line, and the least depth after any line from here on
+        depth = [0] * (n + 1)
+        for i in range(n):
+            depth[i + 1] = depth[i] + net[i]
+        least = [0] * n
+        for i in range(n - 1, -1, -1):
+            least[i] = depth[i + 1] if i == n - 1 else min(depth[i + 1], least[i + 1])
+    last = 0 if n and text[0] else None
+    for i in range(n):
+        if decl[i]:
+            last = i
+        start = last if last is not None else max(0, i - OPEN_START)
+        if start not in known:
+            if flat:
+                known[start] = after[start]
+            else:
+                end, at, open_ = -1, start, False
+                while at < n and (not open_ or least[at] <= depth[start]):
+                    open_ = open_ or opens[at]
+                    if open_ and depth[at + 1] <= depth[start]:
+                        end = at + 1
+                        break
+                    at += 1
+                known[start] = end
+        starts[i], ends[i] = start, known[start]
+    return starts, ends
+
+
+def line_spans(shape: DataFrame) -> DataFrame:
+    """(path, line_no, start0, end0, size) of every line of the files of shape: the block around it, end0 -1 where braces never close."""
+    schema = pa.schema([("path", pa.string()), ("line_no", pa.int64()), ("start0", pa.int32()), ("end0", pa.int32()), ("size", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            for path, marks, flat in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                own = marks.values
+                starts, ends = _file_spans(*(own.field(c).to_pylist() for c in ("decl", "solid", "text", "indent", "opens", "net")), flat)
+                for at in range(0, len(starts), 50_000):
+                    n = len(starts[at : at + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(range(at + 1, at + n + 1), pa.int64()), pa.array(starts[at : at + n], pa.int32()), pa.array(ends[at : at + n], pa.int32()), pa.array([len(starts)] * n, pa.int32())], schema=schema)
+
+    return shape.select("path", "shape", "flat").mapInArrow(run, "path string, line_no long, start0 int, end0 int, size int")
+
+
 def bounds(targets: DataFrame, shape: DataFrame) -> DataFrame:
-    """targets(path, line_no, ...) with start0 and end0 of the block around the line, half open from 0; null where there is none.
+    """targets(path, line_no, ...) with start0 and end0 of the block around the line, half open from 0; lines outside the file have no row.
 
     The start is the nearest declaration at or above (or the file's first line); the end is where the indentation
-    falls back, or the braces close.
+    falls back, or the braces close. Each file that has a target is read once, and its lines' blocks are joined by
+    equality, so the work is in proportion to files and targets, not to their product.
     """
-    df = targets.join(shape, "path").where((F.col("line_no") > 0) & (F.col("line_no") <= F.size("shape")))
-    starts = F.filter("shape", lambda x: (x["no"] <= F.col("line_no")) & (x["decl"] | ((x["no"] == 1) & x["text"])))
-    start = F.coalesce(F.array_max(F.transform(starts, lambda x: x["no"])) - 1, F.greatest(F.col("line_no") - 1 - OPEN_START, F.lit(0)).cast("int"))
-    df = df.withColumn("start0", start).withColumn("rest", F.slice("shape", F.col("start0") + 1, F.size("shape")))
-    base = F.element_at("rest", 1)["indent"]
-    out = F.filter("rest", lambda x: (x["no"] > F.col("start0") + 1) & x["solid"] & (x["indent"] <= base))
-    by_indent = F.coalesce(F.array_min(F.transform(out, lambda x: x["no"])) - 1, F.size("shape"))
-    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("open"), F.lit(0).alias("end"))
-
-    def step(a, x):
-        depth, open_ = a["depth"] + x["net"], a["open"] | x["opens"]
-        new = F.struct(depth.alias("depth"), open_.alias("open"), F.when(open_ & (depth <= 0), x["no"]).otherwise(0).alias("end"))
-        return F.when(a["end"] > 0, a).otherwise(new)
-
-    by_brace = F.aggregate("rest", state, step, lambda a: F.when(a["end"] > 0, a["end"]).otherwise(F.least(F.size("shape"), F.col("line_no").cast("int") - 1 + OPEN_END)))
-    return df.withColumn("end0", F.when(F.col("flat"), by_indent).otherwise(by_brace)).drop("shape", "flat", "rest")
+    spans = line_spans(shape.join(targets.select("path").distinct(), "path", "left_semi"))
+    open_end = F.least(F.col("size"), F.col("line_no").cast("int") - 1 + OPEN_END)
+    return targets.join(spans, ["path", "line_no"]).withColumn("end0", F.when(F.col("end0") < 0, open_end).otherwise(F.col("end0"))).drop("size")
 
 
 def function_name(chunk: Column, start0: Column, end0: Column) -> Column:

@@ -16,13 +16,14 @@ PRUNED = "[Pruned Instances]"
 
 
 def closeness(path: Column, target: Column) -> Column:
-    """struct(category, distance): 0 the same file, 1 the same folder, 2 elsewhere by steps in the tree, 4 no path."""
+    """struct(category, distance): 0 the same file, 1 the same folder, 2 elsewhere by steps in the tree, 3 on another drive, 4 no path."""
     a, b = (F.slice(F.split(x, "/"), 1, F.greatest(F.size(F.split(x, "/")) - 1, F.lit(0))) for x in (path, target))
     least = F.least(F.size(a), F.size(b))
     equal = F.transform(F.sequence(F.lit(0), least), lambda i: (i == least) | (F.get(a, i) != F.get(b, i)))
     common = F.array_position(equal, True) - 1
     far = F.size(a) + F.size(b) - 2 * common
-    category = F.when(path.isNull() | (path == ""), 4).when(path == target, 0).when(F.array_join(a, "/") == F.array_join(b, "/"), 1).otherwise(2)
+    drive = lambda x: F.lower(F.regexp_extract(x, r"^(?:file:/*)?([A-Za-z]:)[\\\\/]", 1))
+    category = F.when(path.isNull() | (path == ""), 4).when(path == target, 0).when(F.array_join(a, "/") == F.array_join(b, "/"), 1).when(drive(path) != drive(target), 3).otherwise(2)
     return F.struct(category.alias("category"), F.when(category == 2, far).otherwise(0).cast("int").alias("distance"))
 
 
@@ -51,8 +52,8 @@ def running(items: DataFrame, group: list[str], order: list[str], value: str) ->
 
 def sticky_pack(items: DataFrame, budget: int, start: int = 0) -> DataFrame:
     """items(section, ord, header, text) that fit: in order, a section's header charged with its first item, and nothing after the first that overflows. bytes is the running total."""
-    first = F.row_number().over(Window.partitionBy("section").orderBy("ord")) == 1
-    sized = items.withColumn("cost", F.octet_length("text") + F.when(first, F.octet_length("header")).otherwise(0))
+    first = F.broadcast(items.groupBy("section").agg(F.min("ord").alias("least")))  # one row a section
+    sized = items.join(first, "section").withColumn("cost", F.octet_length("text") + F.when(F.col("ord") == F.col("least"), F.octet_length("header")).otherwise(0)).drop("least")
     # a prefix sum only grows, so what fits is what lies before the first overflow
     return running(sized, [], ["section", "ord"], "cost").withColumn("bytes", F.col("sofar") + start).where(F.col("bytes") <= budget).drop("sofar", "cost")
 

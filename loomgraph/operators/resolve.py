@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.languages import Language, by_name, extension, languages
 from ..runtime import written
-from .graph import inherited
+from .graph import searched
 from .index import indent, strip
 
 WORD = r"[A-Za-z_][A-Za-z0-9_]*"
@@ -130,10 +130,20 @@ def scopes(lines: DataFrame) -> DataFrame:
 
 
 def innermost(targets: DataFrame, of_scopes: DataFrame) -> DataFrame:
-    """targets(path, line_no, ...) with scope_id of the innermost scope that holds the line: by file, the last one opened."""
-    hit = targets.join(of_scopes.select("path", "scope_id", "start_line", "end_line"), "path").where(F.col("line_no").between(F.col("start_line"), F.col("end_line")))
-    keys = targets.columns
-    return hit.groupBy(*keys).agg(F.max(F.struct("start_line", "scope_id")).alias("s")).select(*keys, F.col("s.scope_id").alias("scope_id"))
+    """targets(path, line_no, ...) with scope_id of the innermost scope that holds the line: by file, the last one opened. A line belongs to the last scope that begins at or above it or to one around that, so each target walks up from one scope instead of meeting all of its file."""
+    begun = Window.partitionBy("path").orderBy("line_no", "k").rowsBetween(Window.unboundedPreceding, 0)
+    asked = targets.select("path", "line_no").distinct().select("path", F.col("line_no").cast("long").alias("line_no"), F.lit(1).alias("k"), F.lit(None).cast("int").alias("scope_id"))
+    marks = of_scopes.select("path", F.col("start_line").cast("long").alias("line_no"), F.lit(0).alias("k"), "scope_id")
+    at = asked.unionByName(marks).withColumn("scope_id", F.max("scope_id").over(begun)).where("k = 1").select("path", "line_no", "scope_id")
+    tree = of_scopes.select("path", "scope_id", "parent_id", "end_line")
+    out, left = None, written(at, "walk")
+    while True:  # one round a level of nesting that ended above the line
+        step = left.join(tree, ["path", "scope_id"])
+        done = step.where("line_no <= end_line").select("path", "line_no", "scope_id")
+        out = done if out is None else out.unionByName(done)
+        left = written(step.where("line_no > end_line and parent_id >= 0").select("path", "line_no", F.col("parent_id").alias("scope_id")), "walk")
+        if left.isEmpty():
+            return targets.join(out, ["path", "line_no"]).select(*targets.columns, "scope_id")
 
 
 def identifiers(lines: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
@@ -163,36 +173,45 @@ def _defines(clean, name, lang):
 
 
 def variable_definitions(names: DataFrame, lines: DataFrame) -> DataFrame:
-    """(name, path, line_no, code) of lines that define one of names(name): those that have the word, as found by a join, then the line rules."""
-    words = lines.select("path", "lang", "line_no", "clean", "raw", F.explode(F.array_distinct(F.regexp_extract_all("clean", F.lit(WORD), F.lit(0)))).alias("name"))
+    """(name, path, file_ord, line_no, code) of lines that define one of names(name): those that have the word, as found by a join, then a cheap pattern (something assigned, declared, typed or bracketed), then the line rules."""
+    some = lines.where(F.col("clean").rlike(r"=|\(|\b(?:let|const|var|mut)\b|[A-Za-z_>*&]\s+[*&]*[A-Za-z_]"))
+    words = some.select("path", "file_ord", "lang", "line_no", "clean", "raw", F.explode(F.array_distinct(F.regexp_extract_all("clean", F.lit(WORD), F.lit(0)))).alias("name"))
     hits = words.join(names.select("name").distinct(), "name")
-    return hits.where(_defines(F.col("clean"), F.col("name"), F.col("lang"))).select("name", "path", "line_no", strip(F.col("raw")).alias("code"))
+    return hits.where(_defines(F.col("clean"), F.col("name"), F.col("lang"))).select("name", "path", "file_ord", "line_no", strip(F.col("raw")).alias("code"))
 
 
 def resolve_variables(uses: DataFrame, lines: DataFrame, of_scopes: DataFrame, imported: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """uses(path, line_no, name) with resolved_type and the definition's def_path, def_line and code.
 
     First that has one: an enclosing scope from inside out, nearest line above first (local_regex); a member of the
-    enclosing class or an ancestor (member_regex); the top level of the own file, then of imported(path, file), then
-    of files of the same extension (global_regex). Otherwise none.
+    enclosing class or an ancestor (member_regex); the top level of the own file, then of imported(path, file) in the
+    order of their line_no, if they have one, then of the first file in listing order with the same extension, always
+    with the file's first such line (global_regex). Otherwise none. Globals are reduced to one a file and name, and to
+    one an extension and name, before any use meets them.
     """
     uses = uses.select("path", "line_no", "name").distinct()
     found = written(variable_definitions(uses, lines).withColumnRenamed("path", "def_path").withColumnRenamed("line_no", "def_line"), "vardefs")
-    placed = innermost(found.select(F.col("def_path").alias("path"), F.col("def_line").alias("line_no"), "name", "code").distinct(), of_scopes)
+    placed = written(innermost(found.select(F.col("def_path").alias("path"), "file_ord", F.col("def_line").alias("line_no"), "name", "code").distinct(), of_scopes), "placed")
     depth_of = of_scopes.select("path", "scope_id", "start_line", "end_line")
     local = uses.join(placed.select("path", F.col("line_no").alias("def_line"), "name", "code", "scope_id"), ["path", "name"]).where("def_line <= line_no")
     local = local.join(depth_of, ["path", "scope_id"]).where(F.col("line_no").between(F.col("start_line"), F.col("end_line")) & (F.col("scope_id") > 0))
-    local = local.select("path", "line_no", "name", F.lit(1).alias("priority"), F.col("start_line").cast("long").alias("k1"), F.col("def_line").alias("k2"), F.col("path").alias("def_path"), "def_line", "code", F.lit("local_regex").alias("resolved_type"))
-    top = placed.where("scope_id = 0").select(F.col("path").alias("def_path"), F.col("line_no").alias("def_line"), "name", "code")
-    own = uses.join(top.withColumn("path", F.col("def_path")), ["path", "name"]).withColumn("priority", F.lit(3))
-    far = uses.join(imported.select("path", F.col("file").alias("def_path")).distinct(), "path").join(top, ["def_path", "name"]).withColumn("priority", F.lit(4))
-    same = uses.withColumn("ext", extension(F.col("path"))).join(top.withColumn("ext", extension(F.col("def_path"))), ["ext", "name"]).where("path <> def_path").withColumn("priority", F.lit(5))
-    globals_ = [d.select("path", "line_no", "name", "priority", F.lit(0).cast("long").alias("k1"), (-F.col("def_line")).alias("k2"), "def_path", "def_line", "code", F.lit("global_regex").alias("resolved_type")) for d in (own, far, same)]
-    every = local.unionByName(globals_[0]).unionByName(globals_[1]).unionByName(globals_[2])
+    local = local.select("path", "line_no", "name", F.lit(1).alias("priority"), (-F.col("start_line")).cast("long").alias("k1"), (-F.col("def_line")).alias("k2"), F.col("path").alias("def_path"), "def_line", "code", F.lit("local_regex").alias("resolved_type"))
+    top = placed.where("scope_id = 0").groupBy(F.col("path").alias("def_path"), "name").agg(F.min(F.struct(F.col("line_no").alias("def_line"), "code")).alias("d"), F.min("file_ord").alias("file_ord"))
+    top = top.select("def_path", "name", "file_ord", "d.def_line", "d.code")
+    kind = F.lit("global_regex").alias("resolved_type")
+    zero = F.lit(0).cast("long")
+    own = uses.join(top.withColumn("path", F.col("def_path")), ["path", "name"]).withColumns({"priority": F.lit(3), "k1": zero})
+    order = F.min("line_no") if "line_no" in imported.columns else F.min(zero)
+    far = uses.join(imported.groupBy("path", F.col("file").alias("def_path")).agg(order.cast("long").alias("k1")), "path").join(top, ["def_path", "name"]).withColumn("priority", F.lit(4))
+    # the own file can't win here: where it has a definition, that went before
+    of_ext = top.groupBy(extension(F.col("def_path")).alias("ext"), "name").agg(F.min(F.struct("file_ord", "def_path", "def_line", "code")).alias("d")).select("ext", "name", "d.*")
+    same = uses.withColumn("ext", extension(F.col("path"))).join(of_ext, ["ext", "name"]).withColumns({"priority": F.lit(5), "k1": zero})
+    every = local
+    for d in (own, far, same):
+        every = every.unionByName(d.select("path", "line_no", "name", "priority", "k1", F.col("file_ord").cast("long").alias("k2"), "def_path", "def_line", "code", kind))
     if members is not None:
-        mine = uses.join(members, ["path", "line_no", "name"]).select("path", "line_no", "name", F.lit(2).alias("priority"), (-F.col("depth")).cast("long").alias("k1"), (-F.col("def_line")).alias("k2"), "def_path", "def_line", "code", F.lit("member_regex").alias("resolved_type"))
-        every = every.unionByName(mine)
-    best = every.groupBy("path", "line_no", "name").agg(F.max_by(F.struct("resolved_type", "def_path", "def_line", "code"), F.struct(-F.col("priority"), "k1", "k2", "def_path")).alias("b"))
+        every = every.unionByName(uses.join(members, ["path", "line_no", "name"]).select("path", "line_no", "name", F.lit(2).alias("priority"), zero.alias("k1"), zero.alias("k2"), "def_path", "def_line", "code", F.lit("member_regex").alias("resolved_type")))
+    best = every.groupBy("path", "line_no", "name").agg(F.min_by(F.struct("resolved_type", "def_path", "def_line", "code"), F.struct("priority", "k1", "k2", "def_path", "def_line")).alias("b"))
     return uses.join(best, ["path", "line_no", "name"], "left").select("path", "line_no", "name", F.coalesce("b.resolved_type", F.lit("none")).alias("resolved_type"), "b.def_path", "b.def_line", "b.code")
 
 
@@ -230,14 +249,15 @@ def members(lines: DataFrame, of_classes: DataFrame) -> DataFrame:
 
 
 def member_definitions(uses: DataFrame, of_classes: DataFrame, of_parents: DataFrame, of_members: DataFrame, imported: DataFrame) -> DataFrame:
-    """(path, line_no, name, depth, def_path, def_line, code) for uses(path, line_no, name) inside a class: its own members at depth 0, an ancestor's further on; the ancestor's file is the own one, an imported one or any, in this order."""
+    """(path, line_no, name, depth, def_path, def_line, code) for uses(path, line_no, name) inside a class: the first hit of a depth-first search over its own members and then, parent by parent, theirs; an ancestor's file is the own one, an imported one or any, in this order."""
     held = uses.join(of_classes.select("path", F.col("name").alias("class"), F.col("line_no").alias("from_"), "end_line"), "path").where("line_no >= from_ and line_no <= end_line")
-    up = inherited(held.select(F.col("class").alias("name")).distinct(), of_parents.select("name", "parent").distinct()).select(F.col("name").alias("class"), "ancestor", "depth")
+    up = searched(held.select(F.col("class").alias("name")).distinct(), of_parents).select(F.col("name").alias("class"), "ancestor", "trail")
     field = of_members.select(F.col("class").alias("ancestor"), "name", F.col("path").alias("def_path"), F.col("line_no").alias("def_line"), "code")
     hit = held.join(up, "class").join(field, ["ancestor", "name"])
     near = imported.select("path", F.col("file").alias("def_path")).distinct().withColumn("near", F.lit(1))
     hit = hit.join(near, ["path", "def_path"], "left").withColumn("rank", F.when(F.col("path") == F.col("def_path"), 0).when(F.col("near") == 1, 1).otherwise(2))
-    best = hit.groupBy("path", "line_no", "name").agg(F.min_by(F.struct("depth", "def_path", "def_line", "code"), F.struct("depth", "rank", "def_path", "def_line")).alias("b"))
+    # of nested classes the inner one first
+    best = hit.groupBy("path", "line_no", "name").agg(F.min_by(F.struct(F.size("trail").alias("depth"), "def_path", "def_line", "code"), F.struct(-F.col("from_"), "trail", "rank", "def_path", "def_line")).alias("b"))
     return best.select("path", "line_no", "name", "b.*")
 
 
