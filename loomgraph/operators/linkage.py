@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import FFI_EXPORTS, extension, languages
 from .index import MIN_NAME, blocks, bounds, strip
+from .resolve import split_top
 
 INCLUDE = r'^\s*#\s*(?:include|import)\s*(?:"([^"]+)"|<([^>]+)>)'
 
@@ -44,34 +48,86 @@ def build_links(headers: DataFrame, units: DataFrame, incl: DataFrame) -> DataFr
     return of_units.join(own, "base").where(fits).select("header", "unit").distinct()
 
 
+def split_commas(text: str) -> list[str]:
+    """Parts between the commas that are in no brace."""
+    return [x.strip() for x in split_top(text, ",", "{}") if x.strip()]
+
+
+def use_paths(tree: str, before: tuple[str, ...] = ()) -> list[str]:
+    """What a Rust use tree may refer to: every step on the way to each of its leaves, as paths, each once."""
+    head, brace, rest = tree.partition("{")
+    steps = [x.strip() for x in re.sub(r"\s+as\s+\w+\s*$", "", head).split("::")]
+    way = (*before, *[x for x in steps if x and x not in ("crate", "self", "super", "*")])
+    out = ["/".join(way[:n]) for n in range(1, len(way) + 1)]
+    if brace:
+        out += [x for part in split_commas(rest[: rest.rfind("}")]) for x in use_paths(part, way)]
+    return list(dict.fromkeys(out))
+
+
+def _python_paths(statement: str) -> list[str]:
+    def path(x: str) -> str:
+        return re.sub(r"\s+as\s+\w+$", "", x.strip()).strip().lstrip(".").replace(".", "/")
+
+    if m := re.match(r"import\s+(.+)", statement):
+        return [path(x) for x in m[1].split(",")]
+    if m := re.match(r"from\s+(\.*[\w.]*)\s+import\s+(.+)", statement):
+        names = [path(x) for x in m[2].strip(" ()").split(",")]
+        return [path(m[1]), *["/".join(x for x in (path(m[1]), n) if x) for n in names if n and n != "*"]]
+    return []
+
+
+def statements(rows: list[str], lang: str) -> list[tuple[int, list[str]]]:
+    """(line, paths) of the import statements of a file's code, also of those that go on over several lines: a Python import in brackets or with a backslash, a Rust use tree up to its semicolon."""
+    begins = re.compile(r"\s*(?:from\s+\.*[\w.]*\s+import\b|import\s)" if lang == "python" else r"\s*(?:pub(?:\([^)]*\))?\s+)?(?:use\s|mod\s+\w+\s*;)")
+    out, held, at = [], "", 0
+    for no, line in enumerate(rows, 1):
+        if not held:
+            if not begins.match(line):
+                continue
+            at = no
+        held += line.strip() + " "
+        if lang == "python":
+            if held.count("(") > held.count(")") or held.rstrip().endswith("\\"):
+                held = held.rstrip().rstrip("\\") + " "
+                continue
+            out.append((at, _python_paths(held.strip().split(";")[0])))
+        else:
+            if ";" not in held:
+                continue
+            body = re.sub(r"^\s*(?:pub(?:\([^)]*\))?\s+)?", "", held.split(";")[0])
+            out.append((at, [body[4:].strip()] if body.startswith("mod ") else use_paths(body[4:])))
+        held = ""
+    return out
+
+
 def imports(lines: DataFrame) -> DataFrame:
-    """(path, line_no, target) of import statements, as a path without extension where the language writes dots."""
+    """(path, lang, line_no, target) of import statements, as a path without extension where the language writes dots. Python and Rust statements may go on over lines and are read a file at a time; a Go group has one path a line."""
     def all_(pattern: str) -> Column:
         return F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
 
     text = F.when(F.col("lang").isin("go", "javascript", "typescript", "c-family"), F.col("raw")).otherwise(F.col("clean"))
     rows = lines.select("path", "lang", "line_no", text.alias("text"))
-    dotted = lambda a: F.transform(a, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(strip(x), r"\s+as\s+\w+$", ""), r"^\.+", ""), r"\.|::", "/"))
-    several = F.flatten(F.transform(all_(r"^\s*import\s+([\w.,\s]+)$"), lambda x: F.split(x, ",")))
-    from_ = F.regexp_extract("text", r"^\s*from\s+(\.*[\w.]*)\s+import\s+", 1)
-    names = F.transform(F.split(F.regexp_replace(F.regexp_extract("text", r"^\s*from\s+\.*[\w.]*\s+import\s+(.+)$", 1), r"[()\s]+|\s+as\s+\w+", ""), ","), lambda x: F.concat_ws(".", F.nullif(from_, F.lit("")), x))
-    python = F.concat(several, F.when(F.col("text").rlike(r"^\s*from\s"), F.concat(F.array(from_), names)).otherwise(F.array().cast("array<string>")))
-    path = F.regexp_extract("text", r"^\s*(?:pub\s+)?use\s+([\w:]+)", 1)
-    use = F.split(path, "::")
-    rust = F.when(path != "", F.transform(F.sequence(F.lit(1), F.size(use)), lambda n: F.array_join(F.filter(F.slice(use, 1, n), lambda x: ~x.isin("crate", "self", "super", "")), "/")))
+    dotted = lambda a: F.transform(a, lambda x: F.regexp_replace(strip(x), r"\.", "/"))
     found = (
-        F.when(F.col("lang") == "python", dotted(python))
-        .when(F.col("lang") == "rust", F.concat(F.coalesce(rust, F.array().cast("array<string>")), all_(r"^\s*(?:pub\s+)?mod\s+(\w+)\s*;")))
-        .when(F.col("lang") == "go", all_(r'^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"]+)"\s*$'))
+        F.when(F.col("lang") == "go", all_(r'^\s*(?:import\s+)?\(?\s*(?:[\w.]+\s+)?"([^"]+)"\s*\)?\s*$'))
         .when(F.col("lang") == "java", dotted(all_(r"^\s*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;")))
         .when(F.col("lang").isin("javascript", "typescript"), F.concat(all_(r"""\bfrom\s+['"]([^'"]+)['"]"""), all_(r"""\b(?:require|import)\s*\(?\s*['"]([^'"]+)['"]""")))
         .when(F.col("lang") == "c-family", F.concat(all_(r'^\s*#\s*include\s*"([^"]+)"'), all_(r"^\s*#\s*include\s*<([^>]+)>")))
     )
-    return rows.select("path", "lang", "line_no", F.explode(found).alias("target")).select("path", "lang", "line_no", F.regexp_replace("target", r"^(?:\./|\.\./|/)+", "").alias("target")).where("target <> ''")
+    single = rows.where(~F.col("lang").isin("python", "rust")).select("path", "lang", "line_no", F.explode(found).alias("target"))
+    whole = rows.where(F.col("lang").isin("python", "rust")).groupBy("path", "lang").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"))
+    whole = whole.where(F.exists("l", lambda x: x["text"].rlike(r"^\s*(?:from|import|use|mod|pub)\b")))
+
+    @F.pandas_udf("array<struct<line_no:long,paths:array<string>>>")
+    def read(text: pd.Series, lang: pd.Series) -> pd.Series:
+        return pd.Series([[{"line_no": n, "paths": p} for n, p in statements(list(t), x)] for t, x in zip(text, lang, strict=True)])
+
+    several = whole.select("path", "lang", F.inline(read(F.col("l.text"), F.col("lang")))).select("path", "lang", "line_no", F.explode("paths").alias("target"))
+    return single.unionByName(several).select("path", "lang", "line_no", F.regexp_replace("target", r"^(?:\./|\.\./|/)+", "").alias("target")).where("target <> ''")
 
 
 def resolve_imports(imp: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, target, file) of each import's first file: the target as it is, with an extension of the language or as a package, at the end of a file's path. A file offers every suffix of its path, so this is an equi-join."""
+    """(path, target, file, line_no) of each import's first file, at the import's first line: the target as it is, with an extension of the language or as a package, at the end of a file's path. A file offers every suffix of its path, so this is an equi-join."""
     parts = F.split("path", "/")
     full = files.select(F.col("path").alias("file"), "file_ord", "lang", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("suffix"))
     full = full.withColumn("rank", F.when(F.col("suffix") == F.col("file"), 0).otherwise(1))
@@ -79,9 +135,11 @@ def resolve_imports(imp: DataFrame, files: DataFrame) -> DataFrame:
     folder = full.where(basename(F.col("file")).rlike(r"^(?:__init__\.py|mod\.rs|index\.[jt]sx?)$") | (F.col("lang") == "go")).withColumn("suffix", F.regexp_replace("suffix", r"/?[^/]+$", "")).where("suffix <> ''")
     offers = full.unionByName(bare).unionByName(folder).distinct().select("file", "file_ord", F.col("lang").alias("of_lang"), F.col("suffix").alias("target"), "rank")
     kin = lambda c: F.when(F.col(c) == "typescript", "javascript").otherwise(F.col(c))
-    hit = imp.select("path", "lang", "target").join(offers, "target").where((kin("lang") == kin("of_lang")) & (F.col("file") != F.col("path")))
-    best = hit.groupBy("path", "target").agg(F.min(F.struct("rank", "file_ord", "file")).alias("b"))
-    return best.select("path", "target", "b.file")
+    first_line = F.min("line_no") if "line_no" in imp.columns else F.lit(0)
+    imp = imp.groupBy("path", "lang", "target").agg(first_line.cast("long").alias("line_no"))
+    hit = imp.join(offers, "target").where((kin("lang") == kin("of_lang")) & (F.col("file") != F.col("path")))
+    best = hit.groupBy("path", "target").agg(F.min(F.struct("rank", "file_ord", "file")).alias("b"), F.min("line_no").alias("line_no"))
+    return best.select("path", "target", "b.file", "line_no")
 
 
 def coverage_status(changed: DataFrame, covered: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.languages import by_name, omission_comment
+from ..functions.stripping import stripper
 from ..runtime import written
 
 TOP = 15
@@ -83,13 +84,13 @@ def truncated(text: Column, limit: int, comment: Column) -> Column:
 
 
 def prune_block(source: str, lang: str, limit: int) -> tuple[str, str]:
-    """(suffix, text) of a block cut to `limit` lines. Python blocks keep every definition's signature and as many bodies as fit; others keep their first lines."""
+    """(suffix, text) of a block cut to `limit` lines. Blocks in Python, and in languages with braces, keep every definition's signature and as many bodies as fit; others, and what doesn't parse, keep their first lines."""
     limit = max(1, limit)
     lines = source.split("\n")
     if len(lines) <= limit:
         return "", source
     language = by_name(lang)
-    groups = _python_groups(source, lines) if lang == "python" else None
+    groups = _python_groups(source, lines) if lang == "python" else _brace_groups(source, lines, language) if language.block else None
     if not groups:
         return " (Truncated)", "\n".join([*lines[:limit], omission_comment(language, "Truncated")])
     spare = limit - sum(len(short) for _, short in groups)
@@ -132,6 +133,46 @@ def _python_groups(source: str, lines: list[str]) -> list[tuple[list[str], list[
     return out
 
 
+def _brace_groups(source: str, lines: list[str], language) -> list[tuple[list[str], list[str]]] | None:
+    """Each top-level block (of a lone one that holds others: its members) in full and at its least: what comes before its brace, an omission and its last line. None where braces don't pair."""
+    scanner = stripper(language)
+    clean = [scanner.line(x) for x in scanner.whole(source).split("\n")]
+    depth, at = [0], 0
+    for x in clean:
+        depth.append(depth[-1] + x.count("{") - x.count("}"))
+    if depth[-1] or min(depth) < 0 or max(depth) < 1:
+        return None
+
+    def parts(first: int, last: int, base: int) -> list[tuple[int, int]]:
+        """Ranges of lines that end where the depth is back at base after a brace."""
+        found, start, deep = [], first, False
+        for i in range(first, last):
+            deep = deep or depth[i + 1] > base or "{" in clean[i]
+            if deep and depth[i + 1] <= base:
+                found.append((start, i + 1))
+                start, deep = i + 1, False
+        return [*found, (start, last)] if start < last else found
+
+    out = []
+    top = parts(0, len(lines), 0)
+    if len(top) == 1:
+        opens = next(i for i, x in enumerate(clean) if "{" in x)
+        inner = parts(opens + 1, len(lines) - 1, 1)
+        if len(inner) < 2:
+            return None
+        out.append((lines[: opens + 1], lines[: opens + 1]))
+        top, at = inner, len(lines) - 1
+    for a, b in top:
+        whole = lines[a:b]
+        opens = next((i for i in range(a, b) if "{" in clean[i]), None)
+        short = whole[:5]
+        if opens is not None and b - opens > 3:
+            pad = lines[opens][: len(lines[opens]) - len(lines[opens].lstrip())] + "    "
+            short = [*lines[a : opens + 1], pad + omission_comment(language, "Body Omitted"), lines[b - 1]]
+        out.append((whole, short if len(short) < len(whole) else whole))
+    return [*out, (lines[at:], lines[at:])] if at else out
+
+
 def prune_blocks(source: Column, lang: Column, limit: int) -> Column:
     """struct(suffix, text) of prune_block, in Arrow batches."""
 

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.languages import fence_of
-from ..operators import graph, index, linkage, rank, resolve
+from ..operators import graph, index, linkage, rank, resolve, syntax
 from ..runtime import ship, written
 from ..sources import diff as diffs
 from ..sources.artifacts import parse_config
 
 SECTIONS = ("## 2. Modified Core Logic\n", "## 3. Data & State Context\n", "## 4. Downstream Called Functions\n", "## 5. Validating Unit Tests\n", "## 6. Upstream Dependent Callers\n", "## 7. Cross-Language FFI Linkages\n")
+JSON_SECTIONS = {"core": "modified_core_logic", "data": "data_and_state_context", "callees": "downstream_called_functions", "tests": "validating_unit_tests", "callers": "upstream_dependent_callers", "ffi": "cross_language_ffi_linkages"}
 
 
 @dataclass(frozen=True)
@@ -57,15 +58,16 @@ class ContextEngine:
         self.tokens = written(index.tokens(self.lines), "tokens")
         self.defs = written(index.definitions(self.lines).distinct(), "defs")
         self.shapes = written(index.shapes(self.lines), "shapes")
+        self.tree = written(syntax.syntax(self.files), "tree")
 
     def changed_spans(self, changed: DataFrame) -> DataFrame:
         """(path, start0, end0, func, source) of the blocks around changed(path, line_no)."""
-        spans = index.bounds(changed.join(self.files.select("path"), "path", "left_semi"), self.shapes).select(*graph.SPAN).distinct()
+        spans = syntax.bounds_or_lexical(changed.join(self.files.select("path"), "path", "left_semi"), self.tree, self.shapes).select(*graph.SPAN).distinct()
         named = index.blocks(spans, self.lines)
         return written(named.withColumn("func", index.function_name(F.col("code"), F.col("start0"), F.col("end0"))), "core")
 
     def context(self, changed: DataFrame, coverage: DataFrame | None = None, units: DataFrame | None = None, references: DataFrame | None = None, expanded: DataFrame | None = None) -> dict[str, DataFrame]:
-        """The sections' rows for changed(path, line_no). references(func, target, path, line_no, seq, code), where a resolver gives some, replace the lexical callers and are cut to the closest; expanded(name, path, line_no, code) adds mentions after macro expansion; units(file) links changed headers to what includes them."""
+        """The sections' rows for changed(path, line_no). references(func, target, path, line_no, seq, code), where a resolver gives some for a function, replace its lexical callers and are cut to the closest; functions without any keep the lexical ones; expanded(name, path, line_no, code) adds mentions after macro expansion; units(file) links changed headers to what includes them."""
         o = self.options
         core = self.changed_spans(changed)
         of_scopes = written(resolve.scopes(self.lines), "scopes")
@@ -78,7 +80,10 @@ class ContextEngine:
         if references is not None:
             found = references if o.disable_pruning else rank.closest(references, o.max_interface_depth)
             callers_ = found.select(F.col("func").alias("name"), "path", "line_no", "code").withColumn("distance", F.lit(1))
-            visited = core.select(*graph.SPAN)
+            missing = core.join(references.select("func").distinct(), "func", "left_anti")
+            lexical, visited = graph.trace_callers(missing, self.lines, self.tokens, self.defs, self.shapes, o.caller_depth, extra)
+            callers_ = callers_ if lexical is None else callers_.unionByName(lexical.select(*callers_.columns))
+            visited = visited.unionByName(core.select(*graph.SPAN)).distinct()
         else:
             callers_, visited = graph.trace_callers(core, self.lines, self.tokens, self.defs, self.shapes, o.caller_depth, extra)
         if units is not None:
@@ -121,10 +126,8 @@ class ContextEngine:
                 trust = F.when(F.col("code").contains("FFI Bridge"), "LOW (Ghost Risk)").otherwise(sure)
                 text = F.concat(F.lit("- `"), "path", F.lit("` (L"), F.col("line_no").cast("string"), F.lit(", Distance "), F.col("distance").cast("string"), F.lit("): `"), "code", F.lit("` **[Confidence: "), trust, F.lit("]**\n"))
                 add(section, df, text, "distance", "path", "line_no")
-        # each section has its own key, so the order is numbered section by section
-        from pyspark.sql import Window
-
-        numbered = [p.withColumn("ord", F.row_number().over(Window.partitionBy("section").orderBy("k", "text")).cast("long")).drop("k") for p in parts]
+        # each section has its own key, so the order is numbered section by section, by ranges and not in one task
+        numbered = [rank.running(p.withColumn("one", F.lit(1).cast("long")), ["section"], ["k", "text"], "one").withColumnRenamed("sofar", "ord").drop("k", "one") for p in parts]
         out = numbered[0]
         for p in numbered[1:]:
             out = out.unionByName(p)
@@ -144,14 +147,22 @@ class ContextEngine:
             out.append(f"\n\n> [!WARNING]\n> Payload truncated because it exceeded the size limit of {self.options.max_mb:.2f} MB.\n")
         return "".join(out)
 
+    def json_rows(self, context: dict[str, DataFrame]) -> DataFrame:
+        """(section, json) of all rows of a context, never cut: a table, however many there are."""
+        out = None
+        for k, name in JSON_SECTIONS.items():
+            if k in context:
+                df = context[k]
+                keep = [c for c in ("path", "func", "name", "line_no", "distance", "code", "source") if c in df.columns]
+                rows = df.select(F.lit(name).alias("section"), F.to_json(F.struct(*keep)).alias("json"))
+                out = rows if out is None else out.unionByName(rows)
+        return out
+
     def json(self, context: dict[str, DataFrame], raw_diff: str) -> str:
-        """All rows, never cut."""
-        names = {"core": "modified_core_logic", "data": "data_and_state_context", "callees": "downstream_called_functions", "tests": "validating_unit_tests", "callers": "upstream_dependent_callers", "ffi": "cross_language_ffi_linkages"}
-        out = {"raw_diff": raw_diff}
-        for k, name in names.items():
-            df = context.get(k)
-            keep = [] if df is None else [c for c in ("path", "func", "name", "line_no", "distance", "code", "source") if c in df.columns]
-            out[name] = [] if df is None else [json.loads(r[0]) for r in df.select(F.to_json(F.struct(*keep))).collect()]
+        """All rows as one document. It is as large as they are; json_rows() is the table to write instead where that is too much."""
+        out = {"raw_diff": raw_diff} | {name: [] for name in JSON_SECTIONS.values()}
+        for r in self.json_rows(context).toLocalIterator():
+            out[r.section].append(json.loads(r.json))
         return json.dumps(out, indent=2, ensure_ascii=False)
 
     def run(self, diff: DataFrame, raw_diff: str = "", **sources) -> str:
@@ -164,3 +175,14 @@ class ContextEngine:
 def compare(first: DataFrame, second: DataFrame) -> DataFrame:
     """Rows that only one of two resolvers found, with `only` saying which."""
     return first.exceptAll(second).withColumn("only", F.lit("first")).unionByName(second.exceptAll(first).withColumn("only", F.lit("second")))
+
+
+def compare_runs(engine: ContextEngine, diff: DataFrame, raw_diff: str, references: DataFrame, **sources) -> tuple[str, str, DataFrame]:
+    """Two runs over one diff: the payload by lexical search, the one by a resolver's references, and the callers that only one of them has, with `only` lexical or resolver."""
+    changed = written(diffs.changed_lines(diffs.split_diff(diff)), "changed")
+    both = [engine.context(changed, **sources), engine.context(changed, references=references, **sources)]
+    render = engine.json if engine.options.format == "json" else engine.markdown
+    cols = ["name", "path", "line_no"]
+    rows = [c["callers"].select(*cols).distinct() for c in both]
+    only = compare(*rows).withColumn("only", F.when(F.col("only") == "first", "lexical").otherwise("resolver"))
+    return render(both[0], raw_diff), render(both[1], raw_diff), only

@@ -41,8 +41,28 @@ def rewrite_commands(units: DataFrame, old: str, new: str, ignore_case: bool = F
 
 
 def write_commands(units: DataFrame, path: str) -> None:
-    """A database as JSON lines, one unit each, in the order of files."""
-    units.write.mode("overwrite").json(path)
+    """A database as one JSON array, the form that compilers' tools read, in a file of the driver. Units come partition by partition, so the driver never holds them all."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for i, row in enumerate(units.select(F.to_json(F.struct(*units.columns))).toLocalIterator()):
+            f.write((",\n" if i else "\n") + row[0])
+        f.write("\n]\n")
+
+
+def rewrite_database(spark: SparkSession, source: str, target: str, old: str, new: str, ignore_case: bool = False) -> bool:
+    """A database file moved from the root `old` to `new` as a file of its own; one that is no array of units is copied as it is. Whether it was rewritten."""
+    text = open(source, "rb").read()  # noqa: SIM115
+    try:
+        units = json.loads(text.decode("utf-8-sig"))
+        valid = isinstance(units, list) and all(isinstance(u, dict) for u in units)
+    except ValueError:
+        valid = False
+    if not valid:
+        with open(target, "wb") as f:
+            f.write(text)
+        return False
+    write_commands(rewrite_commands(read_commands(spark, source).select(*COMMANDS.names), old, new, ignore_case), target)
+    return True
 
 
 def markers(expanded: DataFrame) -> DataFrame:

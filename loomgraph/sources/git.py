@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import subprocess
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .files import with_order
@@ -58,23 +59,40 @@ def tracked(repo: str, commit: str | None = None) -> list[str]:
     return [x for x in out.decode(errors="replace").split("\0") if x]
 
 
-def snapshot(spark: SparkSession, repo: str, commit: str | None = None) -> DataFrame:
-    """files(path, file_ord, lang, content) of a commit (by default HEAD), in the listing's order. Blobs come from git's object store in one batch; no working tree is made."""
-    commit = commit or "HEAD"
-    names = tracked(repo, commit)
+def blobs(repo: str, commit: str, names: list[str]) -> list[str | None]:
+    """Texts of files of a commit, in one batch; None for what isn't there."""
     ask = "".join(f"{commit}:{n}\n" for n in names).encode()
     out = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input=ask, capture_output=True, timeout=TIMEOUT * 10, check=True).stdout
-    rows, at = [], 0
-    for i, name in enumerate(names):
+    texts, at = [], 0
+    for _ in names:
         end = out.index(b"\n", at)
         head = out[at:end].split()
         at = end + 1
         if head[-1] == b"missing":
+            texts.append(None)
             continue
         size = int(head[-1])
-        rows.append((name, i, out[at : at + size].decode("utf-8", "ignore")))
+        texts.append(out[at : at + size].decode("utf-8", "ignore"))
         at += size + 1
-    return with_order(spark.createDataFrame(rows, "path string, file_ord int, content string"))
+    return texts
+
+
+def snapshot(spark: SparkSession, repo: str, commit: str | None = None, group: int = 200) -> DataFrame:
+    """files(path, file_ord, lang, content) of a commit (by default HEAD), in the listing's order. The driver lists names only; tasks read blobs from git's object store, `group` files at a time, so the repository must lie where executors see it. No working tree is made."""
+    commit = resolve(repo, commit or "HEAD")
+    rows = list(enumerate(tracked(repo, commit)))
+    names = spark.createDataFrame([(n, i) for i, n in rows], "path string, file_ord int").repartition(max(1, -(-len(rows) // group)), "file_ord")
+    schema = pa.schema([("path", pa.string()), ("file_ord", pa.int32()), ("content", pa.string())])
+
+    def read(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, group):
+                part = batch.slice(at, group)
+                texts = blobs(repo, commit, part.column(0).to_pylist())
+                keep = pa.array([x is not None for x in texts], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], schema=schema).filter(keep)
+
+    return with_order(names.mapInArrow(read, "path string, file_ord int, content string"))
 
 
 def diff(spark: SparkSession, repo: str, start: str | None = None, end: str | None = None) -> DataFrame:
