@@ -8,8 +8,9 @@ two maxima. Documents that agree in a band are candidates, and a link counts onl
 Skew: documents with the same set (by a 128-bit digest of the whole sorted set) are one class from the start (a
 partial aggregation), so copies never meet in pairs. A bucket of up to SMALL_BUCKET members lists its pairs. In a
 larger one each of HUB_ROUNDS rounds compares the members with one hub only (linear in the bucket), and the confirmed
-links are closed to components. What is still apart in a large bucket is split by FURTHER bands of six entries of
-other permutations, and each part has a hub of its own, which is linear again. What is then in a large bucket but not
+links are closed to components. The documents that are still apart in large buckets meet by FURTHER bands of six
+entries of other permutations, FURTHER rows a document however many buckets it is in, and each such bucket has a hub
+of its own, which is linear again. What is then in a large bucket but not
 in its main component is compared with that component's documents and with the bucket's other strangers, in blocks of
 CELL by CELL documents that emit one link a document and component, not pairs. So no link between components is lost
 to a cap, pairs known to be connected are never listed, and no task gets a whole group.
@@ -301,10 +302,20 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, permutations:
         hubs = written(hubs.where("r1 <> r2").select("key", "m", "h.hub", "h.hub_n", "h.hub_root"), "hubs")
         return written(rows.join(small_side(hubs), "key"), "apart")
 
+    def closed(found: DataFrame, state: DataFrame | None) -> DataFrame:
+        """The components when the links found come in: the graph of these links between the components so far, which is small, is closed alone."""
+        if state is None:
+            return components(found)
+        root_a, root_b = state.select(F.col("node").alias("a"), F.col("root").alias("ra")), state.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        between = found.join(root_a, "a", "left").join(root_b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        new = components(between).select(F.col("node").alias("was"), F.col("root").alias("now"))
+        later = state.join(small_side(new), F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+        return written(later.unionByName(new.join(state, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))), "state")
+
     def labelled(rows: DataFrame, state: DataFrame) -> DataFrame:
         return rows.select("key", "rep", "n").join(state.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
 
-    links, root, first = None, buckets.select("key", "rep", "n", F.col("rep").alias("root")), True
+    state, root, first = None, buckets.select("key", "rep", "n", F.col("rep").alias("root")), True
     for turn in range(hub_rounds):
         apart = with_hubs(root, turn)
         large = apart.where(F.col("m") > small_bucket)
@@ -312,21 +323,19 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, permutations:
         if first:
             pairs = pairs.unionByName(listed(apart.where(F.col("m") <= small_bucket)))
         found = confirmed(written(pairs.distinct(), "pairs"))
-        links = found if links is None else links.unionByName(found)
         if first or not found.isEmpty():
-            state = components(links)
+            state = closed(found, state)
         first = False
         root = labelled(large, state)
     # large buckets in which components are still apart: part them by further bands, a hub each
     root = written(root, "root")
     apart = with_hubs(root, hub_rounds)
     if not apart.isEmpty():
-        more = apart.join(sets.select(F.col("rid").alias("rep"), "more"), "rep").select("rep", "n", "root", "key", F.posexplode("more").alias("band", "own"))
-        parts = more.select(F.xxhash64("key", "band", "own").alias("key"), "rep", "n", "root").distinct()
+        each = apart.select("rep", "n", "root").distinct().join(sets.select(F.col("rid").alias("rep"), "more"), "rep").select("rep", "n", "root", F.posexplode("more").alias("band", "own"))
+        parts = each.select(F.xxhash64("band", "own").alias("key"), "rep", "n", "root")
         found = confirmed(written(with_hubs(written(parts, "parts"), 0).where(fits).select(*ordered).distinct(), "pairs"))
         if not found.isEmpty():
-            links = links.unionByName(found)
-            state = components(links)
+            state = closed(found, state)
             root = labelled(root, state)
     # what is left: strangers to the bucket's main component
     spread_of = root.groupBy("key", "root").count()
@@ -338,8 +347,9 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, permutations:
         of_main = apart.where("root = main").select(F.col("main").alias("grp"), "doc", "root").distinct()
         of_key = strangers.select(F.col("key").alias("grp"), "doc", "root")
         met = across(of_main, strangers.select(F.col("main").alias("grp"), "doc", "root").distinct(), sets, percent, cell)
-        links = links.unionByName(met).unionByName(across(of_key, of_key, sets, percent, cell))
-        state = components(links)
+        met = met.unionByName(across(of_key, of_key, sets, percent, cell))
+        if not met.isEmpty():
+            state = closed(met, state)
 
     # a group is a component of classes; its first row and smallest doc_id are those of its classes
     grouped = classes.join(state.select(F.col("node").alias("rep"), "root"), "rep", "left").select("set", F.coalesce("root", "rep").alias("grp"), F.struct("doc_id", "th", "rid").alias("one"))
