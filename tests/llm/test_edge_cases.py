@@ -107,3 +107,17 @@ def test_pipeline_on_odd_rows(spark, docs, labels, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, got, str(tmp_path))
         assert got.columns == plain.columns
+
+
+def test_filters_go_by_row(spark):
+    """Rows that share a doc_id are judged by their own texts; of repeated rows and of near copies one stays."""
+    base = " ".join(f"w{i}" for i in range(120))
+    rows = [(1, base), (1, "other " + " ".join(f"v{i}" for i in range(60))), (2, base + " more"), (3, "plain " + " ".join(f"u{i}" for i in range(50))), (3, "plain " + " ".join(f"u{i}" for i in range(50))), (None, base), (4, None), (5, "")]
+    docs = spark.createDataFrame([(*r, "en", "a", None) for r in rows], SCHEMA)
+    left = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert left == sorted([(0, base), (1, base), (1, rows[1][1]), (3, rows[3][1]), (4, ""), (5, "")])
+    model = toxicity.dictionaries([b"vermin horrid vermin"] * 9, [b"kind words here"] * 9)
+    toxicity.calibrated(model, [model.features(t) for t in [b"horrid vermin"] * 5 + [b"kind words"] * 5], [True] * 5 + [False] * 5)
+    some = spark.createDataFrame([(1, "horrid vermin horrid"), (1, "kind words here"), (2, None)], "doc_id long, text string").withColumn("TEXT2", F.lit(1))
+    out = toxicity.drop(some, model)
+    assert out.columns == some.columns and sorted(r.text or "" for r in out.collect()) == ["", "kind words here"]
