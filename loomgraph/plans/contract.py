@@ -198,7 +198,7 @@ def syntax_callees(spark, sf_dir):
 
 
 @query(f"""WITH {CHAIN}, x AS (SELECT path, line_no, CAST(k // 2 AS VARCHAR) AS k FROM chain)
-SELECT path, line_no, concat('v', k) AS name, 4 AS utf16, true AS stored FROM x UNION ALL SELECT path, line_no, concat('w', k), 4 + length(k) + 10, false FROM x""")
+SELECT path, line_no, concat('v', k) AS name, 4 AS utf16, true AS stored FROM x UNION ALL SELECT path, line_no, concat('w', k), CAST(4 + length(k) + 10 AS INTEGER), false FROM x""")
 def syntax_identifiers(spark, sf_dir):
     """Variables by the tree, with their place in UTF-16 units and whether they are assigned."""
     lines, _ = _chain(ship(spark), sf_dir)
@@ -355,7 +355,7 @@ def inheritance_closure(spark, sf_dir):
     return graph.inherited(cust.select("name"), cust.unionByName(nation))
 
 
-@query("""SELECT concat('src/k', c_custkey, '.py') AS path, 9 AS line_no, 'x' AS name, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS depth, concat('src/k', c_custkey, '.py') AS def_path, CASE WHEN c_custkey % 2 = 0 THEN 6 ELSE 2 END AS def_line, CASE WHEN c_custkey % 2 = 0 THEN 'x = 3' ELSE 'x = 1' END AS code FROM customer""")
+@query("""SELECT concat('src/k', c_custkey, '.py') AS path, 9::BIGINT AS line_no, 'x' AS name, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS depth, concat('src/k', c_custkey, '.py') AS def_path, CASE WHEN c_custkey % 2 = 0 THEN 6::BIGINT ELSE 2 END AS def_line, CASE WHEN c_custkey % 2 = 0 THEN 'x = 3' ELSE 'x = 1' END AS code FROM customer""")
 def member_resolution(spark, sf_dir):
     """A class's members depth first: the first parent's own parent goes before the second parent."""
     k = F.col("c_custkey").cast("string")
@@ -495,7 +495,7 @@ def occurrence_map(spark, sf_dir):
     return grouped.select("path", "n", F.array_join(F.transform("o", lambda x: F.concat_ws(":", x["line_no"], x["name"])), ",").alias("occ"))
 
 
-@query("""SELECT concat('part_', p_partkey) AS func, concat('tests/test_', p_partkey, '.py') AS path, 1 AS line_no, concat('def test_part_', p_partkey, '():', chr(10), '    assert part_', p_partkey, '()') AS code FROM part""")
+@query("""SELECT concat('part_', p_partkey) AS func, concat('tests/test_', p_partkey, '.py') AS path, 1::BIGINT AS line_no, concat('def test_part_', p_partkey, '():', chr(10), '    assert part_', p_partkey, '()') AS code FROM part""")
 def test_mining(spark, sf_dir):
     """Tests of each part's function; of two files with equal tests the first one."""
     k = F.col("p_partkey").cast("string")
@@ -535,7 +535,7 @@ def import_statements(spark, sf_dir):
     return linkage.imports(lines).select("path", "target")
 
 
-@query("""SELECT path, line_no, unnest(names) AS name FROM (SELECT concat('src/d', p_partkey, '.cpp') AS path, 1 AS line_no, ['TEST_F', concat('Suite_', p_partkey), concat('name_', p_partkey)] AS names FROM part
+@query("""SELECT path, line_no::BIGINT AS line_no, unnest(names) AS name FROM (SELECT concat('src/d', p_partkey, '.cpp') AS path, 1 AS line_no, ['TEST_F', concat('Suite_', p_partkey), concat('name_', p_partkey)] AS names FROM part
   UNION ALL SELECT concat('src/d', p_partkey, '.cpp'), 2, ['UFUNCTION', 'X', concat('go_', p_partkey)] FROM part UNION ALL SELECT concat('src/d', p_partkey, '.cpp'), 3, [concat('Box_', p_partkey)] FROM part)""")
 def macro_definitions(spark, sf_dir):
     """What lines of C++ define, also by macros; a call that ends in a semicolon defines nothing."""
@@ -544,7 +544,7 @@ def macro_definitions(spark, sf_dir):
     return index.definitions(index.code_lines(_files(t(ship(spark), sf_dir, "part"), F.concat(F.lit("src/d"), k, F.lit(".cpp")), text))).select("path", "line_no", "name")
 
 
-@query("""SELECT concat('src/v', o_orderkey, '.py') AS path, line_no, code, distance FROM (SELECT o_orderkey, unnest([{'line_no': 3, 'code': concat('a_', o_orderkey, ' = b_', o_orderkey), 'distance': 1}, {'line_no': 1, 'code': concat('b_', o_orderkey, ' = 7'), 'distance': 2}], recursive := true) FROM orders)""")
+@query("""SELECT concat('src/v', o_orderkey, '.py') AS path, line_no::BIGINT AS line_no, code, distance FROM (SELECT o_orderkey, unnest([{'line_no': 3, 'code': concat('a_', o_orderkey, ' = b_', o_orderkey), 'distance': 1}, {'line_no': 1, 'code': concat('b_', o_orderkey, ' = 7'), 'distance': 2}], recursive := true) FROM orders)""")
 def data_trace(spark, sf_dir):
     """Definitions of the variables of each file's last line, and of those on the lines found."""
     k = F.col("o_orderkey").cast("string")
