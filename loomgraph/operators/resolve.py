@@ -46,8 +46,22 @@ def _patterns(var: str) -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]
     return re.compile(alone), re.compile(rf"\b(?:let|const|var|mut)\b[^;=]*?{alone}"), re.compile(rf"^\s*{typed}"), re.compile(rf"^\s*(?:[*&]\s*)*{typed}")
 
 
+# words that the line rules read; a variable of such a name gets patterns of its own
+_RULE_WORDS = frozenset("let const var mut static extern volatile mutable thread_local constexpr for if while def fn function sub func".split())
+_STAND_IN = "the_name_looked_for"
+
+
 def defines(line: str, var: str, language: Language) -> bool:
-    """Whether a line's code defines a variable: as an assignment's left side, after let, const, var or mut, after a type, or as a parameter of a header."""
+    """Whether a line's code defines a variable: as an assignment's left side, after let, const, var or mut, after a type, or as a parameter of a header.
+
+    The name is written over by one stand-in first, so that patterns are compiled once and not for each name.
+    """
+    if var.isascii() and var.isidentifier() and var not in _RULE_WORDS and var not in language.flow and _STAND_IN not in line:
+        line, var = re.sub(r"\w+", lambda m: _STAND_IN if m[0] == var else m[0], line), _STAND_IN
+    return _defines_in(line, var, language)
+
+
+def _defines_in(line: str, var: str, language: Language) -> bool:
     alone, let, typed, param = _patterns(var)
     flow = set(language.flow)
     statements = split_top(line, ";")
@@ -56,7 +70,7 @@ def defines(line: str, var: str, language: Language) -> bool:
             continue
         head = re.match(r"\s*(?:for|if|while)\s*\(([^)]*)\)?", part)
         if head:
-            if any(defines(x, var, language) for x in head[1].split(";") if alone.search(x)):
+            if any(_defines_in(x, var, language) for x in head[1].split(";") if alone.search(x)):
                 return True
             continue
         assign = _ASSIGN.search(part)

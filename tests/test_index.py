@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +158,15 @@ def test_prune_block():
     assert suffix == " (AST Semantically Pruned)" and "def f" in out and "def g" in out and len(out.split("\n")) <= 10
     assert rank.prune_block("a\nb\nc", "c-family", 2) == (" (Truncated)", "a\nb\n/* ... [Truncated] ... */")
     assert rank.prune_block("a", "c-family", 2) == ("", "a")
+
+
+def test_defines_is_the_same_under_the_stand_in():
+    """Patterns compiled for the name itself give what those of the stand-in give, on lines dealt from small words."""
+    rng = random.Random(5)
+    words = ["x", "if", "for", "let", "int", "x.", "->x", "::x", "=", "==", ":=", "+=", "(", ")", ";", ",", "*", "&", "foo", "xx", "const", "return", "std::vector<x>", "def", " ", "x::x", "the_name_looked_for"]
+    for _ in range(20000):
+        line = " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))
+        for var in ("x", "foo", "let", "return"):
+            for lang in ("python", "c-family", "javascript", "go"):
+                language = by_name(lang)
+                assert resolve.defines(line, var, language) is resolve._defines_in(line, var, language), (line, var, lang)
