@@ -5,17 +5,21 @@ from __future__ import annotations
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import C_DEFINITION, C_MACRO, C_MACRO_PREFIX, CALLEE, CALLEE_IGNORED, DECLARATION, GENERIC_DEFINITION, NOT_A_NAME, by_name, definition_pattern, languages
 from ..functions.stripping import strip_lines
+from ..runtime import join_hint, written
 
 TOKEN = r"operator\s*[^\sA-Za-z0-9_(]+|[A-Za-z_$][A-Za-z0-9_$]*"
 #: Shorter names give nothing for callers, definitions and tests.
 MIN_NAME = 3
 #: Lines taken after the target if a brace block never closes, and before it if nothing is declared above.
 OPEN_END, OPEN_START = 20, 10
+#: Lines whose marks or spans a task holds as Python values, beyond one file's own.
+SPAN_LINES = 50_000
 
 
 def strip(text: Column) -> Column:
@@ -139,14 +143,40 @@ def line_spans(shape: DataFrame) -> DataFrame:
     """(path, line_no, start0, end0, size) of every line of the files of shape: the block around it, end0 -1 where braces never close."""
     schema = pa.schema([("path", pa.string()), ("line_no", pa.int64()), ("start0", pa.int32()), ("end0", pa.int32()), ("size", pa.int32())])
 
+    def files(batch):
+        """Each file's path, marks and kind; the marks are read for several files at once, of SPAN_LINES lines or one file."""
+        paths, flats, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1)
+        sizes = [n or 0 for n in pa.compute.list_value_length(marks).to_pylist()]
+        at = 0
+        while at < len(paths):
+            end, n = at + 1, sizes[at]
+            while end < len(paths) and n + sizes[end] <= SPAN_LINES:
+                n += sizes[end]
+                end += 1
+            own, first = marks.slice(at, end - at).flatten(), 0
+            fields = [own.field(c).to_pylist() for c in ("decl", "solid", "text", "indent", "opens", "net")]
+            for i in range(at, end):
+                yield paths[i], [x[first : first + sizes[i]] for x in fields], flats[i]
+                first += sizes[i]
+            at = end
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+
     def run(batches):
+        rows = [[] for _ in schema]
         for batch in batches:
-            for path, marks, flat in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                own = marks.values
-                starts, ends = _file_spans(*(own.field(c).to_pylist() for c in ("decl", "solid", "text", "indent", "opens", "net")), flat)
-                for at in range(0, len(starts), 50_000):
-                    n = len(starts[at : at + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(range(at + 1, at + n + 1), pa.int64()), pa.array(starts[at : at + n], pa.int32()), pa.array(ends[at : at + n], pa.int32()), pa.array([len(starts)] * n, pa.int32())], schema=schema)
+            for path, marks, flat in files(batch):
+                starts, ends = _file_spans(*marks, flat)
+                for at in range(0, len(starts), SPAN_LINES):
+                    n = len(starts[at : at + SPAN_LINES])
+                    for c, x in zip(rows, ([path] * n, range(at + 1, at + n + 1), starts[at : at + n], ends[at : at + n], [len(starts)] * n), strict=True):
+                        c += x
+                    if len(rows[0]) >= SPAN_LINES:
+                        yield table(rows)
+                        rows = [[] for _ in schema]
+        if rows[0]:
+            yield table(rows)
 
     return shape.select("path", "shape", "flat").mapInArrow(run, "path string, line_no long, start0 int, end0 int, size int")
 
@@ -158,9 +188,11 @@ def bounds(targets: DataFrame, shape: DataFrame) -> DataFrame:
     falls back, or the braces close. Each file that has a target is read once, and its lines' blocks are joined by
     equality, so the work is in proportion to files and targets, not to their product.
     """
-    spans = line_spans(shape.join(targets.select("path").distinct(), "path", "left_semi"))
+    targets = written(targets, "targets")
+    how = join_hint(targets)
+    spans = line_spans(shape.join(targets.select("path").distinct().hint(how), "path", "left_semi"))
     open_end = F.least(F.col("size"), F.col("line_no").cast("int") - 1 + OPEN_END)
-    return targets.join(spans, ["path", "line_no"]).withColumn("end0", F.when(F.col("end0") < 0, open_end).otherwise(F.col("end0"))).drop("size")
+    return targets.hint(how).join(spans, ["path", "line_no"]).withColumn("end0", F.when(F.col("end0") < 0, open_end).otherwise(F.col("end0"))).drop("size")
 
 
 def function_name(chunk: Column, start0: Column, end0: Column) -> Column:
@@ -172,8 +204,9 @@ def function_name(chunk: Column, start0: Column, end0: Column) -> Column:
 
 def blocks(spans: DataFrame, lines: DataFrame) -> DataFrame:
     """spans(path, start0, end0, ...) with source and code (the block's raw and clean lines)."""
+    spans = written(spans, "spans")
     inside = spans.select("path", "start0", "end0").distinct().withColumn("line_no", F.explode(F.sequence((F.col("start0") + 1).cast("long"), F.greatest(F.col("end0"), F.col("start0") + 1).cast("long"))))
-    text = inside.join(lines.select("path", "line_no", "raw", "clean"), ["path", "line_no"]).groupBy("path", "start0", "end0")
+    text = inside.hint(join_hint(inside)).join(lines.select("path", "line_no", "raw", "clean"), ["path", "line_no"]).groupBy("path", "start0", "end0")
     text = text.agg(F.sort_array(F.collect_list(F.struct("line_no", "raw", "clean"))).alias("l"))
     joined = reduce(lambda d, c: d.withColumn(c[0], F.array_join(F.transform("l", lambda x: x[c[1]]), "\n")), (("source", "raw"), ("code", "clean")), text).drop("l")
-    return spans.join(joined, ["path", "start0", "end0"])
+    return spans.hint(join_hint(spans)).join(joined, ["path", "start0", "end0"])

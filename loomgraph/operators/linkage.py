@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import FFI_EXPORTS, extension, languages
+from ..runtime import join_hint, written
 from .index import MIN_NAME, blocks, bounds, strip
 from .resolve import split_top
 
@@ -157,14 +158,15 @@ def test_stems(word: Column) -> Column:
 def find_tests(funcs: DataFrame, lines: DataFrame, shape: DataFrame) -> DataFrame:
     """(func, path, line_no, code) of tests of funcs(path, func): lines of test files that name func, perhaps as test_func or func_suffix, and speak of a test. Of equal bodies one function's search keeps the first."""
     names = funcs.select("func", F.col("path").alias("own")).where(F.length("func") >= MIN_NAME).distinct()
+    names = written(names, "names")
     own_ok = [x.name for x in languages() if x.tests_in_file]
     said = F.col("clean").contains("test") | F.col("clean").contains("it(") | F.col("clean").contains("describe") | F.col("raw").contains("test")
     words = lines.where(said).select("path", "file_ord", "lang", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("raw", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("word"))
     # test_<func>, <func> and <func>_<suffix> are all found by equality on what the word may stand for
     stems = words.withColumn("func", F.explode(test_stems(F.col("word"))))
     testish = F.lower("path").rlike("test|spec") | (F.col("lang").isin(*own_ok) & (F.col("path") == F.col("own")))
-    hits = stems.join(names, "func").where(testish).select("func", "path", "file_ord", "line_no").distinct()
-    spans = bounds(hits, shape)
-    bodies = spans.join(blocks(spans.select("path", "start0", "end0").distinct(), lines), ["path", "start0", "end0"])
+    hits = stems.join(names.hint(join_hint(names)), "func").where(testish).select("func", "path", "file_ord", "line_no").distinct()
+    spans = written(bounds(hits, shape), "spans")
+    bodies = spans.hint(join_hint(spans)).join(blocks(spans.select("path", "start0", "end0").distinct(), lines), ["path", "start0", "end0"])
     first = bodies.groupBy("func", strip(F.col("source")).alias("body")).agg(F.min(F.struct("file_ord", "path", "line_no", "source")).alias("f"))
     return first.select("func", "f.path", "f.line_no", F.col("f.source").alias("code"))

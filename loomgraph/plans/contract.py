@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.languages import CALLEE_IGNORED, IGNORED_DIRECTORIES, extension, fence_of, language_of
 from ..operators import graph, index, linkage, rank, resolve, syntax
-from ..runtime import ship
+from ..runtime import ship, written
 from ..sources import artifacts, diff, files
 from .engine import ContextEngine, compare
 
@@ -65,6 +65,11 @@ def _files(rows: DataFrame, path, content, order=None) -> DataFrame:
     return files.with_order(rows.select(path.alias("path"), content.alias("content"), (F.lit(0) if order is None else order).cast("int").alias("file_ord")))
 
 
+def _lines(rows: DataFrame) -> DataFrame:
+    """Lines of files, scanned once and written, since several joins read them. A narrow table has few tasks, so the files are dealt out before the scanners."""
+    return written(index.code_lines(rows.repartition("path")), "lines")
+
+
 # A chain of calls: each order's function calls that of half its number, ten orders a file.
 CHAIN = """chain AS (SELECT o_orderkey AS k, concat('src/c', o_orderkey // 10, '.py') AS path, 2 * row_number() OVER (PARTITION BY o_orderkey // 10 ORDER BY o_orderkey) AS line_no, concat('fn_', o_orderkey // 2) AS calls, o_orderpriority AS priority FROM orders)"""
 
@@ -503,7 +508,7 @@ def test_mining(spark, sf_dir):
     parts = t(ship(spark), sf_dir, "part")
     one = _files(parts, F.concat(F.lit("tests/test_"), k, F.lit(".py")), text, F.lit(0))
     two = _files(parts, F.concat(F.lit("spec/again_"), k, F.lit(".py")), F.concat(F.lit("\n"), text, F.lit("\n")), F.lit(1))
-    lines = index.code_lines(one.unionByName(two))
+    lines = _lines(one.unionByName(two))
     return linkage.find_tests(parts.select(F.concat(F.lit("part_"), k).alias("func"), F.concat(F.lit("src/part_"), k, F.lit(".py")).alias("path")), lines, index.shapes(lines))
 
 

@@ -11,8 +11,12 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _shipped: set[str] = set()
+#: A side of a join of at most so many bytes, as counted, is broadcast.
+BROADCAST_BYTES = 24 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -44,3 +48,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_hint(df: DataFrame) -> str:
+    """How to join with df, a written table: "broadcast" if its rows take at most BROADCAST_BYTES, as counted, else "merge". Spark's own estimate carries a compressed file's size through strings that are made and rows that are exploded, so it would collect millions of rows on the driver."""
+    text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in text), F.lit(24 * len(df.columns)).cast("long"))
+    return "broadcast" if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else "merge"
