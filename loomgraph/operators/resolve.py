@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.languages import Language, by_name, extension, languages
-from ..runtime import written
+from ..runtime import join_hint, written
 from .graph import searched
 from .index import indent, strip
 
@@ -151,13 +151,14 @@ def innermost(targets: DataFrame, of_scopes: DataFrame) -> DataFrame:
     at = asked.unionByName(marks).withColumn("scope_id", F.max("scope_id").over(begun)).where("k = 1").select("path", "line_no", "scope_id")
     tree = of_scopes.select("path", "scope_id", "parent_id", "end_line")
     out, left = None, written(at, "walk")
+    how = join_hint(left)
     while True:  # one round a level of nesting that ended above the line
-        step = left.join(tree, ["path", "scope_id"])
+        step = left.hint(how).join(tree, ["path", "scope_id"])
         done = step.where("line_no <= end_line").select("path", "line_no", "scope_id")
         out = done if out is None else out.unionByName(done)
         left = written(step.where("line_no > end_line and parent_id >= 0").select("path", "line_no", F.col("parent_id").alias("scope_id")), "walk")
         if left.isEmpty():
-            return targets.join(out, ["path", "line_no"]).select(*targets.columns, "scope_id")
+            return targets.join(out.hint(how), ["path", "line_no"]).select(*targets.columns, "scope_id")
 
 
 def identifiers(lines: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
@@ -183,14 +184,16 @@ def _defines(clean, name, lang):
     def run(clean: pd.Series, name: pd.Series, lang: pd.Series) -> pd.Series:
         return pd.Series([defines(c, n, by_name(x)) for c, n, x in zip(clean, name, lang, strict=True)], dtype=bool)
 
-    return run(clean, name, lang)
+    # else the optimizer asks it of every word, below the join that leaves a few
+    return run.asNondeterministic()(clean, name, lang)
 
 
 def variable_definitions(names: DataFrame, lines: DataFrame) -> DataFrame:
     """(name, path, file_ord, line_no, code) of lines that define one of names(name): those that have the word, as found by a join, then a cheap pattern (something assigned, declared, typed or bracketed), then the line rules."""
     some = lines.where(F.col("clean").rlike(r"=|\(|\b(?:let|const|var|mut)\b|[A-Za-z_>*&]\s+[*&]*[A-Za-z_]"))
     words = some.select("path", "file_ord", "lang", "line_no", "clean", "raw", F.explode(F.array_distinct(F.regexp_extract_all("clean", F.lit(WORD), F.lit(0)))).alias("name"))
-    hits = words.join(names.select("name").distinct(), "name")
+    names = written(names.select("name").distinct(), "names")
+    hits = words.join(names.hint(join_hint(names)), "name")
     return hits.where(_defines(F.col("clean"), F.col("name"), F.col("lang"))).select("name", "path", "file_ord", "line_no", strip(F.col("raw")).alias("code"))
 
 
@@ -203,30 +206,35 @@ def resolve_variables(uses: DataFrame, lines: DataFrame, of_scopes: DataFrame, i
     with the file's first such line (global_regex). Otherwise none. Globals are reduced to one a file and name, and to
     one an extension and name, before any use meets them.
     """
-    uses = uses.select("path", "line_no", "name").distinct()
+    uses = written(uses.select("path", "line_no", "name").distinct(), "uses")
+    how = join_hint(uses)
+    many = uses.hint(how)
+    # what is made of many uses is many too; of few ones, Spark sees how much comes
+    kept = lambda df: df.hint("merge") if how == "merge" else df
     found = written(variable_definitions(uses, lines).withColumnRenamed("path", "def_path").withColumnRenamed("line_no", "def_line"), "vardefs")
     placed = written(innermost(found.select(F.col("def_path").alias("path"), "file_ord", F.col("def_line").alias("line_no"), "name", "code").distinct(), of_scopes), "placed")
     depth_of = of_scopes.select("path", "scope_id", "start_line", "end_line")
-    local = uses.join(placed.select("path", F.col("line_no").alias("def_line"), "name", "code", "scope_id"), ["path", "name"]).where("def_line <= line_no")
-    local = local.join(depth_of, ["path", "scope_id"]).where(F.col("line_no").between(F.col("start_line"), F.col("end_line")) & (F.col("scope_id") > 0))
+    local = many.join(placed.select("path", F.col("line_no").alias("def_line"), "name", "code", "scope_id"), ["path", "name"]).where("def_line <= line_no")
+    local = kept(local).join(depth_of, ["path", "scope_id"]).where(F.col("line_no").between(F.col("start_line"), F.col("end_line")) & (F.col("scope_id") > 0))
     local = local.select("path", "line_no", "name", F.lit(1).alias("priority"), (-F.col("start_line")).cast("long").alias("k1"), (-F.col("def_line")).alias("k2"), F.col("path").alias("def_path"), "def_line", "code", F.lit("local_regex").alias("resolved_type"))
     top = placed.where("scope_id = 0").groupBy(F.col("path").alias("def_path"), "name").agg(F.min(F.struct(F.col("line_no").alias("def_line"), "code")).alias("d"), F.min("file_ord").alias("file_ord"))
     top = top.select("def_path", "name", "file_ord", "d.def_line", "d.code")
     kind = F.lit("global_regex").alias("resolved_type")
     zero = F.lit(0).cast("long")
-    own = uses.join(top.withColumn("path", F.col("def_path")), ["path", "name"]).withColumns({"priority": F.lit(3), "k1": zero})
+    own = many.join(top.withColumn("path", F.col("def_path")), ["path", "name"]).withColumns({"priority": F.lit(3), "k1": zero})
     order = F.min("line_no") if "line_no" in imported.columns else F.min(zero)
-    far = uses.join(imported.groupBy("path", F.col("file").alias("def_path")).agg(order.cast("long").alias("k1")), "path").join(top, ["def_path", "name"]).withColumn("priority", F.lit(4))
+    far = many.join(imported.groupBy("path", F.col("file").alias("def_path")).agg(order.cast("long").alias("k1")), "path")
+    far = kept(far).join(top, ["def_path", "name"]).withColumn("priority", F.lit(4))
     # the own file can't win here: where it has a definition, that went before
     of_ext = top.groupBy(extension(F.col("def_path")).alias("ext"), "name").agg(F.min(F.struct("file_ord", "def_path", "def_line", "code")).alias("d")).select("ext", "name", "d.*")
-    same = uses.withColumn("ext", extension(F.col("path"))).join(of_ext, ["ext", "name"]).withColumns({"priority": F.lit(5), "k1": zero})
+    same = uses.withColumn("ext", extension(F.col("path"))).hint(how).join(of_ext, ["ext", "name"]).withColumns({"priority": F.lit(5), "k1": zero})
     every = local
     for d in (own, far, same):
         every = every.unionByName(d.select("path", "line_no", "name", "priority", "k1", F.col("file_ord").cast("long").alias("k2"), "def_path", "def_line", "code", kind))
     if members is not None:
-        every = every.unionByName(uses.join(members, ["path", "line_no", "name"]).select("path", "line_no", "name", F.lit(2).alias("priority"), zero.alias("k1"), zero.alias("k2"), "def_path", "def_line", "code", F.lit("member_regex").alias("resolved_type")))
+        every = every.unionByName(many.join(members, ["path", "line_no", "name"]).select("path", "line_no", "name", F.lit(2).alias("priority"), zero.alias("k1"), zero.alias("k2"), "def_path", "def_line", "code", F.lit("member_regex").alias("resolved_type")))
     best = every.groupBy("path", "line_no", "name").agg(F.min_by(F.struct("resolved_type", "def_path", "def_line", "code"), F.struct("priority", "k1", "k2", "def_path", "def_line")).alias("b"))
-    return uses.join(best, ["path", "line_no", "name"], "left").select("path", "line_no", "name", F.coalesce("b.resolved_type", F.lit("none")).alias("resolved_type"), "b.def_path", "b.def_line", "b.code")
+    return uses.join(kept(best), ["path", "line_no", "name"], "left").select("path", "line_no", "name", F.coalesce("b.resolved_type", F.lit("none")).alias("resolved_type"), "b.def_path", "b.def_line", "b.code")
 
 
 CLASS = r"^\s*(?:[\w@<>]+\s+)*?(?:class|struct|interface)\s+(\w+)"
@@ -277,11 +285,12 @@ def member_definitions(uses: DataFrame, of_classes: DataFrame, of_parents: DataF
 
 def trace_data(seeds: DataFrame, lines: DataFrame, of_scopes: DataFrame, imported: DataFrame, depth: int = 1, own_members: DataFrame | None = None) -> DataFrame | None:
     """(path, line_no, code, distance) of the definitions of the variables on seeds(path, line_no), and, up to `depth`, of those on the lines found; each line once, at its least distance."""
-    frontier, seen, out = seeds.select("path", "line_no").distinct(), seeds.select("path", "line_no").distinct(), None
+    frontier = written(seeds.select("path", "line_no").distinct(), "seeds")
+    seen, out = frontier, None
     for level in range(depth):
-        uses = identifiers(lines.join(frontier, ["path", "line_no"], "left_semi")).select("path", "line_no", "name")
+        uses = identifiers(lines.join(frontier.hint(join_hint(frontier)), ["path", "line_no"], "left_semi")).select("path", "line_no", "name")
         got = resolve_variables(uses, lines, of_scopes, imported, own_members).where("resolved_type <> 'none'")
-        new = got.select(F.col("def_path").alias("path"), F.col("def_line").alias("line_no"), "code").distinct().join(seen, ["path", "line_no"], "left_anti")
+        new = got.select(F.col("def_path").alias("path"), F.col("def_line").alias("line_no"), "code").distinct().join(seen.hint(join_hint(seen)), ["path", "line_no"], "left_anti")
         new = written(new.withColumn("distance", F.lit(level + 1)), "data")
         out = new if out is None else out.unionByName(new)
         frontier = new.select("path", "line_no")

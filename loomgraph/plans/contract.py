@@ -554,9 +554,9 @@ def data_trace(spark, sf_dir):
     """Definitions of the variables of each file's last line, and of those on the lines found."""
     k = F.col("o_orderkey").cast("string")
     text = F.concat(F.lit("b_"), k, F.lit(" = 7\ndef f_"), k, F.lit("():\n    a_"), k, F.lit(" = b_"), k, F.lit("\n    return a_"), k)
-    lines = index.code_lines(_files(t(ship(spark), sf_dir, "orders"), F.concat(F.lit("src/v"), k, F.lit(".py")), text))
+    lines = _lines(_files(t(ship(spark), sf_dir, "orders"), F.concat(F.lit("src/v"), k, F.lit(".py")), text))
     none = spark.createDataFrame([], "path string, file string")
-    return resolve.trace_data(lines.where("line_no = 4").select("path", "line_no"), lines, resolve.scopes(lines), none, 2)
+    return resolve.trace_data(lines.where("line_no = 4").select("path", "line_no"), lines, written(resolve.scopes(lines), "scopes"), none, 2)
 
 
 @query("""SELECT part_id, path, CASE p_size % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'c-family' WHEN 2 THEN 'rust' WHEN 3 THEN 'unknown' ELSE 'typescript' END AS lang, CASE p_size % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' WHEN 2 THEN 'rust' WHEN 3 THEN 'text' ELSE 'typescript' END AS fence,
